@@ -35,7 +35,7 @@ def distinct_items_per_key(df: DataFrame, keys: Sequence[str], item: str, cells:
 
 
 def exact_quantiles(
-    df: DataFrame, key: str, value: str, probs: Sequence[float], hot_share: float = 0.001, cells: int = 256, max_rounds: int = 40
+    df: DataFrame, key: str, value: str, probs: Sequence[float], hot_share: float = 0.005, cells: int = 256, max_rounds: int = 40
 ) -> DataFrame:
     """(key, n, q0, q1, ...): exact lower quantiles of a DOUBLE value for every key: the value of rank
     max(1, ceil(p * n)) in ascending order.

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.leaks import leaked_items
+from orrery.llm.lookalike import consistent_texts, lookalike_pairs
+from orrery.llm.mixing import mix_sources
 from orrery.llm.names import name_entities, same_entity_pairs
+from orrery.llm.split import split_texts
 from orrery.llm.vectors import nearest_fingerprints
+from orrery.operators.topn import latest_rows
 from orrery.session import table
 
 
@@ -21,7 +26,35 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_entities(_typed_names(spark, sf_dir))
+    """Every spelling with the smallest spelling of its entity."""
+    named = name_entities(_typed_names(spark, sf_dir))
+    return named.join(named.groupBy("entity").agg(F.min("name").alias("entity_name"), F.count(F.lit(1)).alias("n_spellings")), "entity").select("name", "entity_name", "n_spellings")
+
+
+_SPLITS = (("trials", "nct_id", "brief_summary", 500, 50), ("patents", "patent_number", "description", 1000, 100))
+
+
+def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    out = None
+    for name, key, text, limit, overlap in _SPLITS:
+        t = table(spark, sf_dir, name)
+        newest = t.agg(F.max("release_version")).first()[0]
+        rows = t.filter(F.col("release_version") == F.lit(newest)).filter(F.col(key).isNotNull())
+        now = latest_rows(rows, [key], "loaded_at", [text])
+        pieces = split_texts(now.select(F.lit(name).alias("table_name"), F.col(key).alias("record_key"), text), ["table_name", "record_key"], text, limit, overlap, with_text)
+        out = pieces if out is None else out.unionByName(pieces)
+    return out
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record is cut hard exactly if it holds a stretch without white space longer than the limit."""
+    forced = F.max(F.when(F.col("how") == "hard", 1).otherwise(0))
+    cuts = _pieces(spark, sf_dir, False).groupBy("table_name", "record_key").agg(forced.alias("forced"))
+    return cuts.select("table_name", "record_key", F.when(F.col("forced") == 1, "forced").otherwise("boundary").alias("cut_kind"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir, True)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +62,44 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_fingerprints(compounds, table(spark, sf_dir, "chembl").select("cid", "fp")).select("id", "cid")
 
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaked_items(docs, table(spark, sf_dir, "eval_items").select("item_id", "passage"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(table(spark, sf_dir, "documents"))
+
+
+def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent_texts(table(spark, sf_dir, "documents")).select("doc_id", F.col("form").alias("text"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p7_found": p7_found,
+    "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_texts": p9_texts,
+}
+
+
+def _long_sql(name: str, key: str, text: str, limit: int) -> str:
+    stretch = f"regexp_matches(t, '[^\\s\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]{{{limit}}}[^\\s\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]')"
+    return f"""
+    select '{name}' as table_name, k as record_key, case when {stretch} then 'forced' else 'boundary' end as cut_kind
+    from (select {key} as k, {text} as t, row_number() over (partition by {key} order by loaded_at desc, {text} desc nulls last) as rn
+      from {name} where release_version = (select max(release_version) from {name}) and {key} is not null)
+    where rn = 1 and length(t) > {limit}"""
+
+
 SQL: dict[str, str] = {
+    "p2_found": _long_sql("trials", "nct_id", "brief_summary", 500) + " union all " + _long_sql("patents", "patent_number", "description", 1000),
     "p3_found": """
     with q as (select distinct id, fp from patent_compounds where fp is not null and len(fp) = 32),
     r as (select distinct cid, fp from chembl where fp is not null and len(fp) = 32),

@@ -1,9 +1,10 @@
 """The most similar reference fingerprints for every fingerprint, by randomly rotated one-bit codes within lists.
 
-Fingerprints are treated as unit vectors. Reference vectors are put into the lists of all centres nearly as close as the
-closest one; a query looks into the list of its closest centre only. Within a list, inner products are estimated from
-the reference's packed sign bits after a random rotation and one correction scalar per vector; the error bound of that
-estimate says which references can be among the best, and only those are compared bit by bit.
+Fingerprints are treated as unit vectors, turned by a random rotation, of which the first dimensions are kept. Reference
+vectors are put into the lists of all centres nearly as close as the closest one; a query looks into the list of its
+closest centre only. Within a list, inner products are estimated from the reference's packed sign bits and one correction
+scalar per vector; the error bound of that estimate says which references can be among the best, and only those are
+compared bit by bit.
 """
 
 from __future__ import annotations
@@ -28,105 +29,112 @@ def _hadamard(n: int) -> np.ndarray:
 
 
 class Rotation:
-    """Two rounds of random signs and a Hadamard transform: a random rotation in O(d * sqrt d), made from a seed."""
+    """Random signs and a Hadamard transform, made from a seed; ``keep`` leading dimensions of the result, scaled so
+    that inner products keep their expected value."""
 
     def __init__(self, dim: int, seed: int = 7):
-        if dim & (dim - 1):
-            raise ValueError("the dimension must be a power of two")
-        rng = np.random.default_rng(seed)
-        self.dim, self.left = dim, 1 << (dim.bit_length() - 1) // 2
-        self.signs = rng.choice(np.array([-1, 1], np.float32), (2, dim))
-        self.a, self.b = _hadamard(self.left), _hadamard(dim // self.left)
+        if dim & (dim - 1) or dim < 64:
+            raise ValueError("the dimension must be a power of two of at least 64")
+        self.dim, self.right = dim, 1 << dim.bit_length() // 2
+        self.signs = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), dim)
+        self.a, self.b = _hadamard(dim // self.right), _hadamard(self.right)
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        for s in self.signs:
-            y = (x * s).reshape(-1, self.left, self.dim // self.left) @ self.b
-            x = np.ascontiguousarray((self.a @ y).reshape(-1, self.dim))
-        return x
+    def __call__(self, x: np.ndarray, keep: int) -> np.ndarray:
+        rows = -(-keep // self.right)
+        y = (x * self.signs).reshape(-1, self.dim // self.right, self.right) @ self.b
+        return np.ascontiguousarray((self.a[:rows] @ y).reshape(len(x), -1)[:, :keep]) * np.float32(np.sqrt(self.dim / keep))
 
 
 def _unit(words: np.ndarray) -> np.ndarray:
-    """(n, w) int64 words as (n, 64 w) unit vectors."""
+    """(n, w) 64-bit words as (n, 64 w) unit vectors."""
     bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1).astype(np.float32)
     return bits / np.sqrt(bits.sum(1, keepdims=True))
 
 
-def _words(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def _words(batch: pa.RecordBatch, width: int) -> tuple[pa.Array, np.ndarray]:
+    """Keys and fingerprints of a batch (key, fp ARRAY<BIGINT> of ``width``), without those that have null words or no
+    bit set."""
+    flat = batch.column(1).flatten()
+    whole = np.asarray(flat.is_valid()).reshape(-1, width).all(1)
+    words = np.asarray(flat.fill_null(0)).astype(np.uint64, copy=False).reshape(-1, width)
+    good = np.flatnonzero(whole & words.any(1))
+    return batch.column(0).take(pa.array(good)), words[good]
 
 
-def fit_centres(words: np.ndarray, k: int, rounds: int = 5, seed: int = 7) -> np.ndarray:
-    """k unit centres of a sample by spherical k-means; empty ones keep their starting vector."""
-    x = np.concatenate([_unit(words[i : i + STEP]) for i in range(0, len(words), STEP)])
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a C-ordered matrix as a binary value."""
+    size = rows.shape[1] * rows.itemsize
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(size)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The reverse of _binary, for values of one size."""
+    values = column.cast(pa.binary()).combine_chunks()
+    if isinstance(values, pa.ChunkedArray):
+        values = values.chunk(0)
+    at = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind).reshape(len(values), -1)
+
+
+def fit_centres(x: np.ndarray, k: int, rounds: int = 5, seed: int = 7) -> np.ndarray:
+    """k unit centres of the rows of x by spherical k-means; empty ones keep their starting vector."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
     centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(1)
+        own = np.concatenate([(x[i : i + STEP] @ centres.T).argmax(1) for i in range(0, len(x), STEP)])
         order = np.argsort(own, kind="stable")
-        starts = np.searchsorted(own[order], np.arange(k))
         filled = np.flatnonzero(np.bincount(own, minlength=k))
-        sums = np.add.reduceat(x[order], starts[filled], axis=0)
-        centres[filled] = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+        sums = np.add.reduceat(x[order], np.searchsorted(own[order], filled), axis=0)
+        centres[filled] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centres
 
 
-def _assign(centres: np.ndarray, width: int):
-    """(key, fp words as bytes, closest list)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, words = batch.column(0), _words(batch.column(1), width)
-            for i in range(0, len(words), STEP):
-                w = words[i : i + STEP]
-                at = (_unit(w) @ centres.T).argmax(1)
-                yield pa.RecordBatch.from_arrays([key.slice(i, len(w)), pa.array([x.tobytes() for x in w], pa.binary()), pa.array(at.astype(np.int32))], ["key", "fp", "list"])
-
-    return run
-
+def encode(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed signs, length, and the inner product of each vector's direction with its own code vector."""
+    norm = np.linalg.norm(rotated, axis=1)
+    return np.packbits(rotated > 0, axis=1), norm, np.abs(rotated).sum(1) / (np.maximum(norm, 1e-12) * np.float32(np.sqrt(rotated.shape[1])))
 
-def encode(words: np.ndarray, rotation: Rotation) -> tuple[np.ndarray, np.ndarray]:
-    """Packed sign bits of the rotated unit vectors, and the inner product of each vector with its own code vector."""
-    rotated = rotation(_unit(words))
-    return np.packbits(rotated > 0, axis=1), np.abs(rotated).sum(1) / np.float32(np.sqrt(rotation.dim))
 
+def estimate(queries: np.ndarray, codes: np.ndarray, norm: np.ndarray, own: np.ndarray, dim: int, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines (queries x references) and their error bounds (one per reference). <o, q> is estimated by
+    |o| <code, q> / <code, o/|o|>; ``sigmas`` deviations of the code's error and of the error of keeping
+    d of ``dim`` rotated dimensions bound it."""
+    d = queries.shape[1]
+    signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
+    cosine = queries @ signs.T * (norm / (np.sqrt(np.float32(d)) * own))
+    variance = np.maximum(0, 1 - own**2) / own**2 / (d - 1) + 1.5 / d * (1 - d / dim)
+    return cosine, (sigmas * np.sqrt(variance)).astype(np.float32)
 
-def _best_in_cell(k: int, floor: float, width: int, sigmas: float, rotation: Rotation):
-    dim = 64 * width
 
+def _best_in_cell(k: int, floor: float, width: int, sigmas: float, rotation: Rotation, code_dims: int):
     def run(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"id": pa.array([], left.schema.field("key").type), "cid": pa.array([], right.schema.field("key").type), "sim": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        take = lambda t: np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, width)
-        q, r = take(left), take(right)
+        q, r = _matrix(left.column("fp"), np.uint64), _matrix(right.column("fp"), np.uint64)
         na, nb = np.bitwise_count(q).sum(1, dtype=np.int32), np.bitwise_count(r).sum(1, dtype=np.int32)
-        codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(r), -1)
-        own = right.column("own").to_numpy().astype(np.float32)
-        signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
-        # <o, q> is estimated by <code, q> / <code, o>; its error by the bound of the rotated one-bit code
-        scale = 1 / (np.sqrt(np.float32(dim)) * own)
-        bound = np.float32(sigmas) * np.sqrt(np.maximum(0, 1 - own**2)) / own / np.sqrt(np.float32(dim - 1))
+        codes = _matrix(right.column("code"), np.uint8)
+        norm, own = right.column("norm").to_numpy().astype(np.float32), right.column("own").to_numpy().astype(np.float32)
         ids, cids, sims = [], [], []
         for i in range(0, len(q), STEP // 4):
             w, a = q[i : i + STEP // 4], na[i : i + STEP // 4, None]
-            cosine = rotation(_unit(w)) @ signs.T * scale
+            cosine, bound = estimate(rotation(_unit(w), code_dims), codes, norm, own, rotation.dim, sigmas)
             size, root = (a + nb).astype(np.float32), np.sqrt(a.astype(np.float32) * nb)
             high = np.minimum((cosine + bound) * root, np.minimum(a, nb))
-            high = high / (size - high)
-            cut_at = np.full(len(w), floor, np.float32)
+            high /= size - high
+            least = np.full(len(w), floor, np.float32)
             if len(r) > k:
                 low = np.maximum((cosine - bound) * root, 0)
-                low = low / (size - low)
-                cut_at = np.maximum(cut_at, np.partition(low, len(r) - k, axis=1)[:, len(r) - k])
-            x, y = np.nonzero(high >= cut_at[:, None] - np.float32(1e-5))
-            both = np.bitwise_count(w[x] & r[y]).sum(1, dtype=np.int32)
-            exact = both / (a[x, 0] + nb[y] - both)
+                low /= np.maximum(size - low, 1)
+                least = np.maximum(least, np.partition(low, len(r) - k, axis=1)[:, len(r) - k])
+            x, y = np.nonzero(high >= least[:, None] - np.float32(1e-5))
+            shared = np.bitwise_count(w[x] & r[y]).sum(1, dtype=np.int32)
+            exact = shared / (a[x, 0] + nb[y] - shared)
             keep = exact >= floor
-            x, y, exact = x[keep], y[keep], exact[keep]
-            ids.append(x + i)
-            cids.append(y)
-            sims.append(exact)
+            ids.append(x[keep] + i)
+            cids.append(y[keep])
+            sims.append(exact[keep])
         x, y, s = np.concatenate(ids), np.concatenate(cids), np.concatenate(sims)
         if not len(x):
             return empty
@@ -142,62 +150,73 @@ def _best_in_cell(k: int, floor: float, width: int, sigmas: float, rotation: Rot
 
 
 def nearest_fingerprints(
-    queries: DataFrame, references: DataFrame, k: int = 10, floor: float = 0.5, width: int = 32, margin: float = 0.2, sigmas: float = 3.0,
-    per_list: int = 64, max_lists: int = 1024, block: int = 4096,
+    queries: DataFrame, references: DataFrame, k: int = 10, floor: float = 0.5, width: int = 32, margin: float = 0.1, sigmas: float = 3.0,
+    per_list: int = 32, max_lists: int = 4096, list_dims: int = 256, code_dims: int = 1024, block: int = 4096,
 ) -> DataFrame:
     """(id, cid, sim): for every query the at most k references of the highest Tanimoto similarity of at least ``floor``,
     ties to the smaller cid. queries: (id, fp), references: (cid, fp), fp an ARRAY<BIGINT> of ``width`` words.
 
     Centres are fitted on a sample bounded by 16 * max_lists references (the smallest hashes); every reference is then
-    indexed. Lists are met in cells of at most about ``block`` queries by ``block`` references, so that a list holding a
-    third of all vectors is spread over many tasks. The result is approximate only by the choice of one list (see
-    README for recall against brute force) and by the ``sigmas`` of the code's error bound.
+    indexed and every query asked. Lists are met in cells of about ``block`` queries by ``block`` references at most, so
+    that a list holding a third of all vectors is spread over many tasks; how many cells a list needs on the query side
+    is told from a sample of about 5 * max_lists queries, and only decides the spreading. The result is approximate by
+    the choice of one list (recall against brute force stands in the README) and the ``sigmas`` of the error bound.
 
-    A null fp, one of another length or with null words, an all-zero fp and a null id have no neighbours and are none.
+    A null fp, one of another length or with null words, an all-zero fp and a null key have no neighbours and are none.
     Repeated rows of an id or cid count once; different fingerprints of one id give the better similarity. Either side
     empty: no rows.
     """
-    valid = lambda df, key: df.select(F.col(key).alias("key"), "fp").filter(
-        F.col("key").isNotNull() & F.col("fp").isNotNull() & (F.size("fp") == width) & ~F.exists("fp", lambda x: x.isNull()) & F.exists("fp", lambda x: x != 0)
-    )
-    q, r = valid(queries, queries.columns[0]), valid(references, references.columns[0])
+    valid = lambda df: df.select(F.col(df.columns[0]).alias("key"), "fp").filter(F.col("key").isNotNull() & (F.size("fp") == width))
+    q, r = valid(queries), valid(references)
     key_q, key_r = queries.dtypes[0][1], references.dtypes[0][1]
+    rotation = Rotation(64 * width)
+    code_dims, list_dims = min(code_dims, rotation.dim), min(list_dims, rotation.dim)
     total = r.count()
-    if not total:
-        return queries.sparkSession.createDataFrame([], f"id {key_q}, cid {key_r}, sim double")
     lists = int(min(max_lists, max(1, total // per_list)))
-    sample = np.array([x.fp for x in r.orderBy(F.xxhash64("key"), "key").limit(16 * lists).select("fp").collect()], np.int64)
-    centres = fit_centres(sample, lists)
-    rotation = Rotation(64 * width)
+    drawn = r.orderBy(F.xxhash64("key"), "key").limit(16 * lists).toArrow()
+    parts = [_words(b, width)[1] for b in drawn.to_batches()]
+    sample = np.concatenate(parts) if parts else np.zeros((0, width), np.uint64)
+    if not len(sample):
+        return queries.sparkSession.createDataFrame([], f"id {key_q}, cid {key_r}, sim double")
+    lists = min(lists, len(sample))
+    centres = fit_centres(np.concatenate([rotation(_unit(sample[i : i + STEP]), list_dims) for i in range(0, len(sample), STEP)]), lists)
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = _words(batch.column(1), width)
+            key, words = _words(batch, width)
             for i in range(0, len(words), STEP):
-                w = np.ascontiguousarray(words[i : i + STEP])
-                bits, own = encode(w, rotation)
-                near = _unit(w) @ centres.T
+                w = words[i : i + STEP]
+                at = (rotation(_unit(w), list_dims) @ centres.T).argmax(1)
+                yield pa.RecordBatch.from_arrays([key.slice(i, len(w)), _binary(w), pa.array(at.astype(np.int32))], ["key", "fp", "list"])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, words = _words(batch, width)
+            for i in range(0, len(words), STEP):
+                w = words[i : i + STEP]
+                x = _unit(w)
+                near = rotation(x, list_dims) @ centres.T
                 row, at = np.nonzero(near >= near.max(1, keepdims=True) - np.float32(margin))
-                raw = [x.tobytes() for x in w]
-                packed = [x.tobytes() for x in bits]
+                code, norm, own = encode(rotation(x, code_dims))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row + i)), pa.array([raw[j] for j in row], pa.binary()), pa.array(at.astype(np.int32)), pa.array([packed[j] for j in row], pa.binary()), pa.array(own[row].astype(np.float64))],
-                    ["key", "fp", "list", "code", "own"],
+                    [key.take(pa.array(row + i)), _binary(w[row]), pa.array(at.astype(np.int32)), _binary(code[row]), pa.array(norm[row]), pa.array(own[row])],
+                    ["key", "fp", "list", "code", "norm", "own"],
                 )
 
-    placed_q = cut(q.mapInArrow(_assign(centres, width), f"key {key_q}, fp binary, list int"))
-    placed_r = cut(r.mapInArrow(code, f"key {key_r}, fp binary, list int, code binary, own double"))
-    # at most max_lists rows
-    sizes = placed_q.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("qs")).join(
-        placed_r.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rs")), "list"
-    )
-    sizes = F.broadcast(cut(sizes))
-    some = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    asked = f"key {key_q}, fp binary, list int"
+    placed = cut(r.mapInArrow(index, f"key {key_r}, fp binary, list int, code binary, norm float, own float"))
+    every = max(1, queries.count() // (5 * max_lists))
+    some = q.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).mapInArrow(ask, asked)
+    needs = lambda df, times: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) * times / block).cast("int").alias("n"))
+    # both tables have at most max_lists rows
+    sizes = needs(placed, 1).withColumnRenamed("n", "rs").join(needs(some, every).withColumnRenamed("n", "qs"), "list", "left")
+    sizes = F.broadcast(cut(sizes.select("list", "rs", F.coalesce("qs", F.lit(1)).alias("qs"))))
+    part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ql = placed_q.join(sizes, "list").withColumn("qb", some("key", "qs")).withColumn("rb", each("rs")).select("list", "qb", "rb", "key", "fp")
-    rl = placed_r.join(sizes, "list").withColumn("rb", some("key", "rs")).withColumn("qb", each("qs")).select("list", "qb", "rb", "key", "fp", "code", "own")
+    ql = q.mapInArrow(ask, asked).join(sizes, "list").withColumn("qb", part("qs")).withColumn("rb", each("rs")).select("list", "qb", "rb", "key", "fp")
+    rl = placed.join(sizes, "list").withColumn("rb", part("rs")).withColumn("qb", each("qs")).select("list", "qb", "rb", "key", "fp", "code", "norm", "own")
     cell = ["list", "qb", "rb"]
-    found = ql.groupBy(*cell).cogroup(rl.groupBy(*cell)).applyInArrow(_best_in_cell(k, floor, width, sigmas, rotation), f"id {key_q}, cid {key_r}, sim double")
+    found = ql.groupBy(*cell).cogroup(rl.groupBy(*cell)).applyInArrow(_best_in_cell(k, floor, width, sigmas, rotation, code_dims), f"id {key_q}, cid {key_r}, sim double")
     best = found.groupBy("id", "cid").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "cid")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "cid", "sim")

@@ -84,7 +84,7 @@ def _unmatched(mask: int, most: int):
     return run
 
 
-def snapshot_changes(df: DataFrame, key: str, release: str, version: str, chunk_keys: int = 32, most_keys: int = 4096) -> DataFrame:
+def snapshot_changes(df: DataFrame, key: str, release: str, version: str, chunk_keys: int = 8, most_keys: int = 4096) -> DataFrame:
     """(key, release, change_kind) with change_kind 'added', 'removed' or 'changed' between consecutive releases.
 
     Every row is reduced to (key, release, 64-bit digest) before any shuffle; of several rows for one key and release

@@ -29,7 +29,7 @@ def sentence_chunks(c: Column, most: int) -> Column:
             F.when((cur == "") | opens, s).otherwise(F.concat(cur, F.lit(". "), s)).alias("cur"),
         )
 
-    parts = F.filter(F.transform(F.split(c, "[.!?]+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(c, "[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
     packed = F.aggregate(parts, start, step, lambda acc: F.when(acc["cur"] != "", F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"]))
     return F.when(c.isNull(), F.array().cast("array<string>")).when(F.length(c) <= most, F.array(c)).otherwise(packed)
 

@@ -714,3 +714,22 @@ def group_split(spark, d):
         take.append((r.n, fit))
     fits = F.broadcast(spark.createDataFrame(take, "n bigint, fit bigint"))
     return g.join(fits, "n").withColumn("i", F.row_number().over(Window.partitionBy("n").orderBy("grp"))).select("grp", "n", (F.col("i") <= F.col("fit")).alias("in_train"))
+
+
+# ---- streams ------------------------------------------------------------------------------------------------------------
+
+
+@query("select time_bucket(interval '1 day', ts)::date as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def stream_windows(spark, d):
+    from orrery.streaming.incremental import event_windows, events_stream, run_to_memory
+
+    out = run_to_memory(event_windows(events_stream(spark, d), late="60 days"), "orrery_windows")
+    return out.select(F.col("window.start").cast("date").alias("day"), "event_type", "n", "total")
+
+
+@query("select count(*) as n, count(distinct user_id) as n_users from (select distinct event_id, user_id from events)")
+def stream_dedup(spark, d):
+    from orrery.streaming.incremental import deduplicated, events_stream, run_to_memory
+
+    out = run_to_memory(deduplicated(events_stream(spark, d), late="60 days").select("event_id", "user_id"), "orrery_dedup", "append")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"))

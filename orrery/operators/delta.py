@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.session import free_name
+
 
 def unseen(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among ``done``; rows with a null key are unseen."""
@@ -22,7 +24,8 @@ def compare_state(df: DataFrame, state: DataFrame, key: str, digest: str) -> Dat
 
 def keep_one(df: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in ``order``."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
+    place = free_name(df, "place")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(place) == 1).drop(place)
 
 
 def upsert(base: DataFrame, patch: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -55,13 +55,14 @@ def _unmatched(mask: int, most: int):
         with np.errstate(over="ignore"):
             np.add.at(digest, (chunk, r), mixed)
         np.add.at(count, (chunk, r), 1)
-        out = []
+        none = np.zeros(0, np.int32)
+        out = [pd.DataFrame({"k": frame.k.to_numpy()[:0], "step": none, "side": none, "d": frame.d.to_numpy()[:0]})]
         for step in range(1, releases):
             differs = (digest[:, step] != digest[:, step - 1]) | (count[:, step] != count[:, step - 1])
             for side, of in ((0, step - 1), (1, step)):
                 hit = differs[chunk] & (r == of)
                 out.append(pd.DataFrame({"k": frame.k.to_numpy()[hit], "step": np.full(hit.sum(), step, np.int32), "side": np.full(hit.sum(), side, np.int32), "d": frame.d.to_numpy()[hit]}))
-        return pd.concat(out) if out else pd.DataFrame({"k": [], "step": [], "side": [], "d": []})
+        return pd.concat(out)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.session import free_name
+
 
 def graded_bin(parts: Sequence[tuple[Column, float, float, int]]) -> Column:
     """A BIGINT that never falls when a row ranks earlier: each (score, low, high, cells) is cut into equal cells,
@@ -33,25 +35,29 @@ def top_n_per_group(
     gets even when a whole group ties in its bin.
 
     Null groups form no group. Rows with a null bin are ranked last within their group but are kept as candidates.
-    An empty input gives an empty result.
+    An empty input gives an empty result. Repeated rows are ranked as often as they come. A column of the name ``rank``
+    is replaced; other extra columns stay, whatever their names.
     """
-    rows = df.dropna(subset=list(group)).withColumn("_bin", F.coalesce(score_bin, F.lit(-1).cast("bigint")))
-    counts = rows.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    falling = Window.partitionBy(*group).orderBy(F.col("_bin").desc())
+    bin_, n_, above, floor_, salt = (free_name(df, c) for c in ("bin", "n_rows", "above", "floor", "salt"))
+    kept_columns = [c for c in df.columns if c.lower() != rank.lower()]
+    rows = df.dropna(subset=list(group)).withColumn(bin_, F.coalesce(score_bin, F.lit(-1).cast("bigint")))
+    counts = rows.groupBy(*group, bin_).agg(F.count(F.lit(1)).alias(n_))
+    falling = Window.partitionBy(*group).orderBy(F.col(bin_).desc())
     floor = (
-        counts.withColumn("_above", F.sum("_n").over(falling))
-        .filter(F.col("_above") >= n)
+        counts.withColumn(above, F.sum(n_).over(falling))
+        .filter(F.col(above) >= n)
         .groupBy(*group)
-        .agg(F.max("_bin").alias("_floor"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .agg(F.max(bin_).alias(floor_))
+        .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    kept = (
-        rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-        .join(floor, [*group, "_salt"], "left")
-        .filter(F.col("_floor").isNull() | (F.col("_bin") >= F.col("_floor")))
+    survivors = (
+        rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+        .join(floor, [*group, salt], "left")
+        .filter(F.col(floor_).isNull() | (F.col(bin_) >= F.col(floor_)))
     )
+    place = free_name(df, "place")
     w = Window.partitionBy(*group).orderBy(*order)
-    return kept.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n).select(*df.columns, rank)
+    return survivors.withColumn(place, F.row_number().over(w)).filter(F.col(place) <= n).select(*kept_columns, F.col(place).alias(rank))
 
 
 def latest_rows(df: DataFrame, key: Sequence[str], version: str, values: Sequence[str]) -> DataFrame:

@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores put before it until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only for a local master."""
     sc = spark.sparkContext

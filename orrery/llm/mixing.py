@@ -82,7 +82,7 @@ def mix_sources(docs: DataFrame, shares: DataFrame, budget: int | None = None, v
     # a document's row is met by its bucket's offset: sources x buckets rows, a proven bound
     queued = sized.withColumn("upto", within).join(F.broadcast(queue), ["source", "bucket"]).withColumn("upto", F.col("upto") + F.col("before"))
     room = F.lit(horizon) * F.col("target_share") * (1 + 1e-12)
-    copies = F.least(F.floor((room - F.col("upto")) / F.col("once")) + 1, F.col("max_repeats").cast("double"))
+    copies = F.floor(F.least((room - F.col("upto")) / F.col("once") + 1, F.col("max_repeats").cast("double")))
     some = queued.filter("target_share > 0").withColumn("copies", copies.cast("int")).filter("copies >= 1")
     mixture = (
         some.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))

@@ -36,7 +36,7 @@ def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int, str
         starts.append(m.start())
         ends.append(m.end())
     levels = (("paragraph", [m.end() for m in _PARAGRAPH.finditer(text)], 0.5), ("sentence", [m.end() for m in _SENTENCE.finditer(text)], 0.5), ("word", ends, 0.0))
-    out, at, done = [], 0, 0  # done: end of the last piece; a piece must end beyond it
+    out, at, done = [], starts[0] if starts else 0, 0  # done: end of the last piece; a piece must end beyond it
     while True:
         reach = at + limit
         if reach >= n or not ends or ends[-1] <= reach:

@@ -116,6 +116,8 @@ def _best_in_cell(k: int, floor: float, width: int, sigmas: float, rotation: Rot
         na, nb = np.bitwise_count(q).sum(1, dtype=np.int32), np.bitwise_count(r).sum(1, dtype=np.int32)
         codes = _matrix(right.column("code"), np.uint8)
         norm, own = right.column("norm").to_numpy().astype(np.float32), right.column("own").to_numpy().astype(np.float32)
+        key = right.column("key").to_numpy()
+        among = k + len(r) - len(np.unique(key))  # so many rows hold at least k different cids
         ids, cids, sims = [], [], []
         for i in range(0, len(q), STEP // 4):
             w, a = q[i : i + STEP // 4], na[i : i + STEP // 4, None]
@@ -124,10 +126,10 @@ def _best_in_cell(k: int, floor: float, width: int, sigmas: float, rotation: Rot
             high = np.minimum((cosine + bound) * root, np.minimum(a, nb))
             high /= size - high
             least = np.full(len(w), floor, np.float32)
-            if len(r) > k:
+            if len(r) > among:
                 low = np.maximum((cosine - bound) * root, 0)
                 low /= np.maximum(size - low, 1)
-                least = np.maximum(least, np.partition(low, len(r) - k, axis=1)[:, len(r) - k])
+                least = np.maximum(least, np.partition(low, len(r) - among, axis=1)[:, len(r) - among])
             x, y = np.nonzero(high >= least[:, None] - np.float32(1e-5))
             shared = np.bitwise_count(w[x] & r[y]).sum(1, dtype=np.int32)
             exact = shared / (a[x, 0] + nb[y] - shared)
@@ -138,7 +140,12 @@ def _best_in_cell(k: int, floor: float, width: int, sigmas: float, rotation: Rot
         x, y, s = np.concatenate(ids), np.concatenate(cids), np.concatenate(sims)
         if not len(x):
             return empty
-        c = right.column("key").to_numpy()[y]
+        c = key[y]
+        if among > k:  # the best row of each cid
+            order = np.lexsort((-s, c, x))
+            x, c, s = x[order], c[order], s[order]
+            one = np.r_[True, (np.diff(x) != 0) | (c[1:] != c[:-1])]
+            x, c, s = x[one], c[one], s[one]
         order = np.lexsort((c, -s, x))
         x, c, s = x[order], c[order], s[order]
         first = np.r_[0, np.flatnonzero(np.diff(x)) + 1]

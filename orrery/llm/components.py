@@ -15,7 +15,10 @@ def connected_components(links: DataFrame, max_rounds: int = 30) -> DataFrame:
     the node, and its result goes to the checkpoint folder. No step gathers a component: a neighbourhood is reduced to
     its minimum with map-side combining. Links to itself or with a null end carry nothing; no links give no rows.
     """
+    # a table of links is told from another by its size and two independent xors over its rows
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
     edges = cut(links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = mark(edges)
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node is tied to the smallest of its closed neighbourhood
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,9 +28,8 @@ def connected_components(links: DataFrame, max_rounds: int = 30) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         nxt = cut(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        changed = nxt.exceptAll(edges).isEmpty() and edges.exceptAll(nxt).isEmpty()
-        edges = nxt
-        if changed:
+        edges, before, seen = nxt, seen, mark(nxt)
+        if seen == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.leaks import leaked_items
-from orrery.llm.lookalike import consistent_texts, lookalike_pairs
+from orrery.llm.lookalike import COMPATIBLE, SKELETON, consistent_texts, lookalike_pairs
 from orrery.llm.mixing import mix_sources
 from orrery.llm.names import name_entities, same_entity_pairs
 from orrery.llm.split import split_texts
@@ -98,7 +100,30 @@ def _long_sql(name: str, key: str, text: str, limit: int) -> str:
     where rn = 1 and length(t) > {limit}"""
 
 
+def _form_sql(text: str) -> str:
+    """The skeleton of a text: plain forms and blanks, no format characters, look-alikes as their Latin twins."""
+    wide = {i: c for i, c in COMPATIBLE.items() if c is not None and i != 0x20 and len(c) == 1}
+    plain = f"translate(nfc_normalize({text}), '{''.join(map(chr, wide))}', '{''.join(wide.values()).replace(chr(39), chr(39) * 2)}')"
+    seen = f"regexp_replace({plain}, '[\\p{{Cf}}\\x{{fe00}}-\\x{{fe0f}}\\x{{34f}}]', '', 'g')"
+    twins = {chr(i): c for i, c in SKELETON.items()}
+    for i in range(0x370, 0x530):  # composed letters whose base is a look-alike
+        base, *marks = unicodedata.normalize("NFD", chr(i))
+        if marks and base in twins and len(both := unicodedata.normalize("NFC", twins[base] + "".join(marks))) == 1:
+            twins[chr(i)] = both
+    return f"nfc_normalize(translate(nfc_normalize({seen}), '{''.join(twins)}', '{''.join(twins.values())}'))"
+
+
+def _runs_sql(table_name: str, key: str, text: str) -> str:
+    words = f"regexp_extract_all(lower({_form_sql(text)}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""(select distinct {key}, array_to_string(w[i : i + 11], ' ') as run from (select {key}, w, unnest(range(1, len(w) - 10)) as i
+      from (select {key}, {words} as w from {table_name} where {text} is not null) where len(w) >= 12))"""
+
+
 SQL: dict[str, str] = {
+    "p7_found": f"select distinct doc_id, item_id from {_runs_sql('documents', 'doc_id', 'text')} join {_runs_sql('eval_items', 'item_id', 'passage')} using (run)",
+    "p9_found": f"""
+    with f as (select doc_id, text, {_form_sql('text')} as form from documents where text is not null)
+    select distinct a.doc_id as doc_a, b.doc_id as doc_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text where trim(a.form) <> ''""",
     "p2_found": _long_sql("trials", "nct_id", "brief_summary", 500) + " union all " + _long_sql("patents", "patent_number", "description", 1000),
     "p3_found": """
     with q as (select distinct id, fp from patent_compounds where fp is not null and len(fp) = 32),

@@ -733,3 +733,16 @@ def stream_dedup(spark, d):
 
     out = run_to_memory(deduplicated(events_stream(spark, d), late="60 days").select("event_id", "user_id"), "orrery_dedup", "append")
     return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"))
+
+
+# ---- classifier ---------------------------------------------------------------------------------------------------------
+
+
+@query()
+def qsar_fit(spark, d):
+    """Logistic regression from fingerprint bits to 'has a confident target', whole scaffold groups held out."""
+    from orrery.operators.qsar import fit_and_score
+
+    good = table(spark, d, "compound_predictions").filter("confidence >= 0.7D and not isnan(confidence)").select(F.col("pid").alias("id")).distinct().withColumn("y", F.lit(1.0))
+    t = table(spark, d, "patent_compounds").filter("fp is not null and smiles is not null").join(good, "id", "left")
+    return fit_and_score(t.select("id", "fp", F.substring("smiles", 1, 6).alias("grp"), F.coalesce("y", F.lit(0.0)).alias("label")))

@@ -20,6 +20,8 @@ def fit_and_score(df: DataFrame, words: int = 32, held_out: float = 0.2, rounds:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     bits = F.flatten(F.transform("fp", lambda w: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", w, b).cast("double"))))
+    # the vector function fails on a null even in rows that the filter drops, if it is run before it
+    bits = F.coalesce(bits, F.array_repeat(F.lit(0.0), 64 * words))
     rows = df.filter((F.size("fp") == words) & F.col("label").isNotNull())
     n, share = rows.agg(F.count(F.lit(1)), F.avg("label")).first()
     if n < LEAST_ROWS or not 0 < share < 1:

@@ -32,7 +32,7 @@ def row_digest(df: DataFrame, leave_out: Sequence[str]) -> Column:
     return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
 
 
-def _unmatched(mask: int, most: int):
+def _unmatched(mask: int, most: int, releases: int):
     """Over rows (k, r, kh, d) sorted by key: cuts chunks after keys whose hash has ``mask`` zero, at most ``most`` keys
     long, and passes on only rows of chunks whose digest differs between releases r - 1 and r."""
 
@@ -50,7 +50,7 @@ def _unmatched(mask: int, most: int):
         with np.errstate(over="ignore"):
             mixed = (kh.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ frame.d.to_numpy().astype(np.uint64)
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        n, releases = int(chunk[-1]) + 1, int(r.max()) + 1
+        n = int(chunk[-1]) + 1
         digest, count = np.zeros((n, releases), np.uint64), np.zeros((n, releases), np.int64)
         with np.errstate(over="ignore"):
             np.add.at(digest, (chunk, r), mixed)
@@ -111,7 +111,7 @@ def snapshot_changes(df: DataFrame, key: str, release: str, version: str, chunk_
     mask = (1 << max(0, chunk_keys - 1).bit_length()) - 1
     kind = df.schema[key].dataType.simpleString()
     left = (
-        narrow.repartitionByRange("k").sortWithinPartitions("k", "r").mapInPandas(_unmatched(mask, most_keys), f"k {kind}, step int, side int, d bigint")
+        narrow.repartitionByRange("k").sortWithinPartitions("k", "r").mapInPandas(_unmatched(mask, most_keys, len(calendar)), f"k {kind}, step int, side int, d bigint")
     )
     joined = left.groupBy("k", "step").agg(F.max(F.when(F.col("side") == 0, F.col("d"))).alias("old"), F.max(F.when(F.col("side") == 1, F.col("d"))).alias("new"))
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")

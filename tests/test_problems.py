@@ -90,6 +90,11 @@ def test_changes_kinds(spark):
     assert changes(df.limit(0)) == set() and changes(df.filter("rel = '1'")) == set()
 
 
+def test_chunk_of_one_old_release(spark):
+    rows = [("1", "k0", "0", 0), ("2", "k1", "0", 1)]
+    assert changes(spark.createDataFrame(rows, "rel string, k string, t string, at int"), chunk_keys=1) == {("k0", "2", "removed"), ("k1", "2", "added")}
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from(["1", "2", "3"]), st.integers(0, 300), st.integers(0, 3)), max_size=400), st.sampled_from([1, 8]), st.sampled_from([3, 4096]))
 def test_changes_equal_brute_force(spark, rows, size, most):

@@ -30,6 +30,41 @@ def _cosine(q: np.ndarray, r: np.ndarray) -> np.ndarray:
 MEASURES = {"tanimoto": (_tanimoto, np.uint64), "cosine": (_cosine, np.float64)}
 
 
+def _in_blocks(queries: DataFrame, rows: DataFrame, work, schema: str, measure: str, digits: int, block: int) -> DataFrame:
+    """What ``work`` makes of every block of queries and every block of rows, each pair of blocks in its own task. queries
+    and rows are (id, vector, columns that ``work`` reads); null ids, null vectors and vectors with nulls are left out.
+
+    ``work(left, right, parts)`` gets both blocks ordered by id, so that a later pass over the same blocks finds the very
+    same similarities; parts yields (number of the first query, similarities of up to 512 queries to all rows of the
+    block, rounded to ``digits``) and nothing if a side is empty.
+    """
+    score, kind = MEASURES[measure]
+    clean = lambda d: d.select(F.col(d.columns[0]).alias("id"), F.col(d.columns[1]).alias("v"), *d.columns[2:]).filter("id is not null and v is not null").filter(~F.exists("v", lambda x: x.isNull()))
+    q, r = clean(queries), clean(rows)
+    nq, nr = max(1, -(-q.count() // block)), max(1, -(-r.count() // block))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", part(nq)).withColumn("rb", each(nr))
+    r = r.withColumn("rb", part(nr)).withColumn("qb", each(nq))
+
+    def task(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by("id"), right.sort_by("id")
+        if not (left.num_rows and right.num_rows):
+            return work(left, right, ())
+        a, b = _matrix(left.column("v"), kind), _matrix(right.column("v"), kind)
+        return work(left, right, ((i, np.round(score(a[i : i + 512], b), digits)) for i in range(0, len(a), 512)))
+
+    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(task, schema)
+
+
+def _joined(arrays: list, kind: type = np.int64) -> np.ndarray:
+    return np.concatenate(arrays).astype(kind, copy=False) if arrays else np.zeros(0, kind)
+
+
+def _kind(d: DataFrame, at: int = 0) -> str:
+    return d.dtypes[at][1]
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float = -2.0, measure: str = "tanimoto", digits: int = 12, block: int = 4096) -> DataFrame:
     """(qid, rid, sim, rk): for each query the k most similar rows of at least ``floor``, by falling similarity (rounded
     to ``digits``), then id. queries and rows are (id, vector); all vectors have one length. A query never meets a row of
@@ -38,35 +73,37 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float = -2.0, me
     Both sides are cut into blocks of about ``block`` and every query block meets every row block in its own task, which
     keeps its best k; those are merged by one ranking. Null ids, null vectors and vectors with nulls are left out.
     """
-    score, kind = MEASURES[measure]
-    clean = lambda d: d.select(F.col(d.columns[0]).alias("id"), F.col(d.columns[1]).alias("v")).filter("id is not null and v is not null").filter(~F.exists("v", lambda x: x.isNull()))
-    q, r = clean(queries), clean(rows)
-    nq, nr = max(1, -(-q.count() // block)), max(1, -(-r.count() // block))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumn("qb", part(nq)).withColumn("rb", each(nr)).select("qb", "rb", "id", "v")
-    r = r.withColumn("rb", part(nr)).withColumn("qb", each(nq)).select("qb", "rb", "id", "v")
 
-    def best(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        li, ri = left.column("id").combine_chunks(), right.column("id").to_numpy()
+    def best(left: pa.Table, right: pa.Table, parts) -> pa.Table:
+        ri = right.column("id").to_numpy()
         out_x, out_c, out_s = [], [], []
-        if left.num_rows and right.num_rows:
-            a, b = _matrix(left.column("v"), kind), _matrix(right.column("v"), kind)
-            for i in range(0, len(a), 512):
-                s = np.round(score(a[i : i + 512], b), digits)
-                for j, row in enumerate(s):
-                    at = np.flatnonzero(row >= floor)
-                    if len(at) > k:
-                        at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
-                    at = at[np.lexsort((ri[at], -row[at]))][:k]
-                    out_x.append(np.full(len(at), i + j))
-                    out_c.append(ri[at])
-                    out_s.append(row[at])
-        x = np.concatenate(out_x).astype(np.int64) if out_x else np.zeros(0, np.int64)
-        c = np.concatenate(out_c) if out_c else np.zeros(0, ri.dtype)
-        return pa.table({"qid": li.take(pa.array(x)), "rid": pa.array(c, right.schema.field("id").type), "sim": pa.array(np.concatenate(out_s) if out_s else np.zeros(0))})
-
-    kinds = dict(queries.dtypes)[queries.columns[0]], dict(rows.dtypes)[rows.columns[0]]
-    found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(best, f"qid {kinds[0]}, rid {kinds[1]}, sim double")
+        for i, s in parts:
+            for j, row in enumerate(s):
+                at = np.flatnonzero(row >= floor)
+                if len(at) > k:
+                    at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
+                at = at[np.lexsort((ri[at], -row[at]))][:k]
+                out_x.append(np.full(len(at), i + j))
+                out_c.append(at)
+                out_s.append(row[at])
+        return pa.table({"qid": left.column("id").take(pa.array(_joined(out_x))), "rid": right.column("id").take(pa.array(_joined(out_c))), "sim": pa.array(_joined(out_s, float))})
+
+    found = _in_blocks(queries, rows, best, f"qid {_kind(queries)}, rid {_kind(rows)}, sim double", measure, digits, block)
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), "rid")
     return found.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+
+
+def count_within(queries: DataFrame, rows: DataFrame, floors: dict[str, float], measure: str = "tanimoto", digits: int = 12, block: int = 4096) -> DataFrame:
+    """(qid, a column for each name in ``floors``): how many of all rows are at least as similar as its floor. Every pair
+    of blocks gives counts, which are summed; nothing is ranked or cut."""
+
+    def count(left: pa.Table, right: pa.Table, parts) -> pa.Table:
+        n: dict[str, list] = {name: [] for name in floors}
+        for _, s in parts:
+            for name, floor in floors.items():
+                n[name].append((s >= floor).sum(1))
+        ids = left.column("id") if right.num_rows else left.column("id").slice(0, 0)
+        return pa.table({"qid": ids} | {name: pa.array(_joined(x)) for name, x in n.items()})
+
+    found = _in_blocks(queries, rows, count, ", ".join([f"qid {_kind(queries)}", *(f"{name} bigint" for name in floors)]), measure, digits, block)
+    return found.groupBy("qid").agg(*[F.sum(name).alias(name) for name in floors])

@@ -10,7 +10,7 @@ from orrery.functions import hashing, scores, text
 from orrery.functions.filters import compile_filter
 from orrery.operators import delta, evaluate, transfer
 from orrery.operators.provenance import provenance, span
-from orrery.operators.simjoin import nearest
+from orrery.operators.simjoin import count_within, nearest
 from orrery.session import table
 
 QUERIES: dict = {}
@@ -49,9 +49,12 @@ def _queries(spark, d):
     return table(spark, d, "patent_compounds").filter("id % 50 = 0 and fp is not null").select(F.col("id").alias("qid"), "fp", "smiles")
 
 
+def _refs(spark, d) -> DataFrame:
+    return table(spark, d, "chembl").filter("fp is not null").select("cid", "fp")
+
+
 def _neighbours(spark, d) -> DataFrame:
-    refs = table(spark, d, "chembl").filter("fp is not null").select("cid", "fp")
-    return nearest(_queries(spark, d).select("qid", "fp"), refs, 100, 0.3)
+    return nearest(_queries(spark, d).select("qid", "fp"), _refs(spark, d), 100, 0.3)
 
 
 def _labels(spark, d) -> DataFrame:
@@ -305,8 +308,11 @@ def cosine_topk_filtered(spark, d):
 @query(f"""with {NB} select q.qid, count(*) filter (where sim >= 0.7) as n_70, count(*) filter (where sim >= 0.5) as n_50, count(*) filter (where sim >= 0.4) as n_40, count(nb.rid) as n_30
 from q left join nb using (qid) group by q.qid""")
 def density_thresholds(spark, d):
-    near = _queries(spark, d).select("qid").join(_neighbours(spark, d), "qid", "left")
-    return near.groupBy("qid").agg(*[F.count_if(F.col("sim") >= t).alias(f"n_{int(t * 100)}") for t in (0.7, 0.5, 0.4)], F.count("rid").alias("n_30"))
+    """How many of all ligands lie within each threshold: counted, not taken from a list of nearest ones."""
+    floors = {"n_70": 0.7, "n_50": 0.5, "n_40": 0.4, "n_30": 0.3}
+    asked = _queries(spark, d).select("qid", "fp")
+    counts = count_within(asked, _refs(spark, d), floors)
+    return asked.select("qid").distinct().join(counts, "qid", "left").select("qid", *[F.coalesce(n, F.lit(0)).alias(n) for n in floors])
 
 
 @query(f"with {NB} select qid, rid, round(s::double / u, 6) as sim from pairs where u > 0 and s::double / u >= 0.6")

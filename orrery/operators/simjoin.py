@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +108,40 @@ def count_within(queries: DataFrame, rows: DataFrame, floors: dict[str, float],
 
     found = _in_blocks(queries, rows, count, ", ".join([f"qid {_kind(queries)}", *(f"{name} bigint" for name in floors)]), measure, digits, block)
     return found.groupBy("qid").agg(*[F.sum(name).alias(name) for name in floors])
+
+
+def label_sums(queries: DataFrame, rows: DataFrame, floor: float, measure: str = "tanimoto", digits: int = 12, block: int = 4096) -> DataFrame:
+    """(qid, label, raw, square, n): for each query and label the sum of the similarities from ``floor`` on over all rows
+    with the label, that of their squares, and their number. rows are (id, vector, labels), labels an array. The row whose
+    label is null is over all rows, with labels or without, and its n counts every row compared, also those below.
+    """
+    name = rows.columns[2]
+
+    def add(left: pa.Table, right: pa.Table, parts) -> pa.Table:
+        lists = right.column(name)
+        each = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        flat = pc.list_flatten(lists).dictionary_encode().unify_dictionaries().combine_chunks()
+        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+        code, start, many = flat.indices.to_numpy(), np.cumsum(each) - each, max(1, len(flat.dictionary))
+        out_x, out_c, sums = [], [], []
+        for i, s in parts:
+            x, y = np.nonzero(s >= floor)
+            v = s[x, y]
+            all_x = np.arange(len(s))
+            out_x.append(i + all_x)
+            out_c.append(np.full(len(s), -1))
+            sums.append((np.bincount(x, v, len(s)), np.bincount(x, v * v, len(s)), np.full(len(s), s.shape[1])))
+            n = each[y]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pair, v = np.repeat(x, n) * many + code[np.repeat(start[y], n) + within], np.repeat(v, n)
+            key, at, n = np.unique(pair, return_inverse=True, return_counts=True)
+            out_x.append(i + key // many)
+            out_c.append(key % many)
+            sums.append((np.bincount(at, v, len(key)), np.bincount(at, v * v, len(key)), n))
+        raw, square, n = zip(*sums, strict=True) if sums else ([], [], [])
+        c = _joined(out_c)
+        return pa.table({"qid": left.column("id").take(pa.array(_joined(out_x))), "label": flat.dictionary.take(pa.array(c, mask=c < 0)), "raw": pa.array(_joined(raw, float)), "square": pa.array(_joined(square, float)), "n": pa.array(_joined(n))})
+
+    kind = dict(rows.dtypes)[name].removeprefix("array<").removesuffix(">")
+    found = _in_blocks(queries, rows, add, f"qid {_kind(queries)}, label {kind}, raw double, square double, n bigint", measure, digits, block)
+    return found.groupBy("qid", "label").agg(*[F.sum(c).alias(c) for c in ("raw", "square", "n")])

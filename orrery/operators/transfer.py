@@ -32,12 +32,12 @@ def enrichment(neighbours: DataFrame, labels: DataFrame, n_rows: int) -> DataFra
     return votes.join(totals, "qid").join(sizes, "label").select("qid", "label", F.round(F.col("vote") - F.col("total") * F.col("n") / F.lit(n_rows), 6).alias("score"))
 
 
-def set_zscore(neighbours: DataFrame, labels: DataFrame, mean: float, square: float, floor: float = 0.4) -> DataFrame:
-    """(qid, label, z): (raw - n * mean) / sqrt(n * variance), raw the sum of similarities from ``floor`` on."""
-    raw = neighbours.filter(F.col("sim") >= floor).join(labels, "rid").groupBy("qid", "label").agg(F.sum("sim").alias("raw"))
+def set_zscore(raw: DataFrame, labels: DataFrame, mean: float, square: float) -> DataFrame:
+    """(qid, label, z): (raw - n * mean) / sqrt(n * variance). raw: (qid, label, raw), the sums of similarities over all
+    rows of a label; mean and square: of one pair's share, those that give nothing included."""
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     spread = F.sqrt(F.col("n") * F.lit(max(square - mean * mean, 1e-12)))
-    return raw.join(sizes, "label").select("qid", "label", F.round((F.col("raw") - F.col("n") * F.lit(mean)) / spread, 6).alias("z"))
+    return raw.select("qid", "label", "raw").join(sizes, "label").select("qid", "label", F.round((F.col("raw") - F.col("n") * F.lit(mean)) / spread, 6).alias("z"))
 
 
 def drop_weak(predicted: DataFrame, floor: float = 0.4, most: int = 50) -> DataFrame:

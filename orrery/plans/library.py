@@ -10,8 +10,8 @@ from orrery.functions import hashing, scores, text
 from orrery.functions.filters import compile_filter
 from orrery.operators import delta, evaluate, transfer
 from orrery.operators.provenance import provenance, span
-from orrery.operators.simjoin import count_within, nearest
-from orrery.session import table
+from orrery.operators.simjoin import count_within, label_sums, nearest
+from orrery.session import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -167,10 +167,12 @@ def enrichment_rank(spark, d):
 raw as (select qid, label, sum(sim) as raw from nb join lab using (rid) where sim >= 0.4 group by qid, label), sz as (select label, count(*) as n from lab group by label)
 select qid, label, round((raw - n * m) / sqrt(n * greatest(s2 - m * m, 1e-12)), 6) as z from raw join sz using (label) cross join bg""")
 def sea_zscore(spark, d):
-    nb = _neighbours(spark, d)
-    hit = F.when(F.col("sim") >= 0.4, F.col("sim")).otherwise(0.0)
-    m, s2 = nb.agg(F.avg(hit), F.avg(hit * hit)).first()
-    return transfer.set_zscore(nb, _labels(spark, d), m or 0.0, s2 or 0.0)
+    """Sums over all ligands from 0.4 on, against the mean and spread over all pairs of a query and a ligand."""
+    labels = _labels(spark, d)
+    refs = _refs(spark, d).join(labels.groupBy(F.col("rid").alias("cid")).agg(F.collect_list("label").alias("labels")), "cid", "left")
+    sums = cut(label_sums(_queries(spark, d).select("qid", "fp"), refs, 0.4))  # read twice
+    total, square, pairs = sums.filter("label is null").agg(F.sum("raw"), F.sum("square"), F.sum("n")).first()
+    return transfer.set_zscore(sums.filter("label is not null"), labels, (total or 0.0) / (pairs or 1), (square or 0.0) / (pairs or 1))
 
 
 @query(f"""with {LAB}, b as (select generate_series as bit from generate_series(0, 2047)),

@@ -56,3 +56,33 @@ def test_counts_of_blocks_add_up(spark):
     t = spark.createDataFrame(list(enumerate(fps)), "id bigint, v array<bigint>")
     found = simjoin.count_within(t, t, {"n": 0.5}, block=16).collect()
     assert {r.qid: r.n for r in found} == {i: sum(tanimoto(a, b) >= 0.5 for b in sets) for i, a in enumerate(sets)}
+
+
+def test_sea_sums_all_ligands_against_all_pairs(spark, tmp_path):
+    d, asked, refs = compounds(spark, tmp_path)
+    sim = {(q, r): s if (s := tanimoto(a, b)) >= 0.4 else 0.0 for q, a in asked.items() for r, b in refs.items()}
+    m, s2 = np.mean(list(sim.values())), np.mean(np.square(list(sim.values())))
+    own = {f"P{i}": [r for r in refs if i in (r % 9, (r * 7 + 3) % 9)] for i in range(9)}
+    want = {}
+    for q in asked:
+        for label, ids in own.items():
+            if any(sim[q, r] for r in ids):
+                want[q, label] = (sum(sim[q, r] for r in ids) - len(ids) * m) / np.sqrt(len(ids) * (s2 - m * m))
+    assert max(sum(sim[q, r] > 0 for r in refs) for q in asked) > 100
+    got = {(r.qid, r.label): r.z for r in QUERIES["sea_zscore"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_label_sums_of_blocks_add_up(spark):
+    sets, fps = crowd(70)
+    own = {i: [f"L{i % 4}"] * (i % 3 > 0) + ["all"] * (i % 5 == 0) for i in range(70)}
+    t = spark.createDataFrame([(i, f, own[i] or None) for i, f in enumerate(fps)], "id bigint, v array<bigint>, labels array<string>")
+    got = {(r.qid, r.label): (round(r.raw, 9), r.n) for r in simjoin.label_sums(t.select("id", "v"), t, 0.5, block=16).collect()}
+    want = {}
+    for i, a in enumerate(sets):
+        near = {j: tanimoto(a, b) for j, b in enumerate(sets) if tanimoto(a, b) >= 0.5}
+        want[i, None] = (round(sum(near.values()), 9), 70)
+        for label in {x for j in near for x in own[j]}:
+            mine = [s for j, s in near.items() if label in own[j]]
+            want[i, label] = (round(sum(mine), 9), len(mine))
+    assert got == want

@@ -66,21 +66,24 @@ def _kind(d: DataFrame, at: int = 0) -> str:
     return d.dtypes[at][1]
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float = -2.0, measure: str = "tanimoto", digits: int = 12, block: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float = -2.0, measure: str = "tanimoto", digits: int = 12, block: int = 4096, others: bool = False, less: str | None = None) -> DataFrame:
     """(qid, rid, sim, rk): for each query the k most similar rows of at least ``floor``, by falling similarity (rounded
-    to ``digits``), then id. queries and rows are (id, vector); all vectors have one length. A query never meets a row of
-    its own id in a self join only if the caller filters it out afterwards (ask for k + 1).
+    to ``digits``), then id. queries and rows are (id, vector); all vectors have one length. With ``others`` a query never
+    meets a row of its own id; else the caller filters it out afterwards (ask for k + 1). ``less`` names a column of rows
+    that is subtracted from the similarity before anything is ranked (and the difference rounded).
 
     Both sides are cut into blocks of about ``block`` and every query block meets every row block in its own task, which
     keeps its best k; those are merged by one ranking. Null ids, null vectors and vectors with nulls are left out.
     """
 
     def best(left: pa.Table, right: pa.Table, parts) -> pa.Table:
-        ri = right.column("id").to_numpy()
+        li, ri = left.column("id").to_numpy(), right.column("id").to_numpy()
+        off = right.column(less).to_numpy() if less else None
         out_x, out_c, out_s = [], [], []
         for i, s in parts:
+            s = s if off is None else np.round(s - off, digits)
             for j, row in enumerate(s):
-                at = np.flatnonzero(row >= floor)
+                at = np.flatnonzero((row >= floor) & (ri != li[i + j]) if others else row >= floor)
                 if len(at) > k:
                     at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
                 at = at[np.lexsort((ri[at], -row[at]))][:k]
@@ -145,3 +148,21 @@ def label_sums(queries: DataFrame, rows: DataFrame, floor: float, measure: str =
     kind = dict(rows.dtypes)[name].removeprefix("array<").removesuffix(">")
     found = _in_blocks(queries, rows, add, f"qid {_kind(queries)}, label {kind}, raw double, square double, n bigint", measure, digits, block)
     return found.groupBy("qid", "label").agg(*[F.sum(c).alias(c) for c in ("raw", "square", "n")])
+
+
+def mean_similarity(queries: DataFrame, rows: DataFrame, measure: str = "tanimoto", digits: int = 12, block: int = 4096) -> DataFrame:
+    """(rid, mean): the mean similarity of each row to all queries of another id. Sums are kept in whole units of the last
+    digit, so that the order of the blocks changes nothing; ``digits`` of 6 leave room for 9 * 10**12 queries."""
+
+    def add(left: pa.Table, right: pa.Table, parts) -> pa.Table:
+        li, ri = left.column("id").to_numpy(), right.column("id").to_numpy()
+        total, n = np.zeros(len(ri), np.int64), np.zeros(len(ri), np.int64)
+        for i, s in parts:
+            other = li[i : i + len(s), None] != ri[None, :]
+            total += np.where(other, np.rint(s * 10.0**digits), 0).astype(np.int64).sum(0)
+            n += other.sum(0)
+        return pa.table({"rid": right.column("id"), "total": pa.array(total), "n": pa.array(n)})
+
+    found = _in_blocks(queries, rows, add, f"rid {_kind(rows)}, total bigint, n bigint", measure, digits, block)
+    sums = found.groupBy("rid").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).filter("n > 0")
+    return sums.select("rid", (F.col("total") / F.col("n") / F.lit(10.0**digits)).alias("mean"))

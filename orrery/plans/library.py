@@ -10,7 +10,7 @@ from orrery.functions import hashing, scores, text
 from orrery.functions.filters import compile_filter
 from orrery.operators import delta, evaluate, transfer
 from orrery.operators.provenance import provenance, span
-from orrery.operators.simjoin import count_within, label_sums, nearest
+from orrery.operators.simjoin import count_within, label_sums, mean_similarity, nearest
 from orrery.session import cut, table
 
 QUERIES: dict = {}
@@ -643,13 +643,12 @@ def mean_vector(spark, d):
 
 @query(f"""with {COS}, bg as (select rid, avg(sim) as b from cs group by rid) select qid, rid, row_number() over (partition by qid order by round(sim - b, 6) desc, rid) as rk from cs join bg using (rid) where rid % 50 = 0 qualify rk <= 3""")
 def debiased_rank(spark, d):
-    """Similarity less the mean affinity of the row to all queries, among the query rows."""
+    """Similarity less the mean affinity of the row to all queries, among all rows."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     asked = e.filter("vec_id % 50 = 0")
-    near = nearest(asked, asked, 10**6, measure="cosine", digits=6).filter("qid <> rid").drop("rk")
-    bias = near.groupBy("rid").agg(F.avg("sim").alias("b"))
-    ranked = transfer.rank_within(near.join(bias, "rid"), "qid", F.round(F.col("sim") - F.col("b"), 6).desc(), F.col("rid"))
-    return ranked.filter("rk <= 3").select("qid", "rid", *_long("rk"))
+    bias = mean_similarity(asked, e, measure="cosine", digits=6).withColumnRenamed("rid", "vec_id")
+    near = nearest(asked, e.join(bias, "vec_id").select("vec_id", "embedding", "mean"), 3, measure="cosine", digits=6, others=True, less="mean")
+    return near.select("qid", "rid", *_long("rk"))
 
 
 @query(f"with {COS} select qid, lb as label, min(rk) as best_rank from (select qid, lb, row_number() over (partition by qid order by sim desc, rid) as rk from cs qualify rk <= 50) group by qid, lb")

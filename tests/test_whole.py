@@ -86,3 +86,33 @@ def test_label_sums_of_blocks_add_up(spark):
             mine = [s for j, s in near.items() if label in own[j]]
             want[i, label] = (round(sum(mine), 9), len(mine))
     assert got == want
+
+
+def cosines(vectors):
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.round(u @ u.T, 6)
+
+
+def embeddings(spark, folder, n=220, labels=5):
+    """Random vectors; every query (id divisible by 50) lies far from the rows of the last label."""
+    v = np.random.default_rng(5).normal(size=(n, 8)).astype(np.float32)
+    label = [i % labels for i in range(n)]
+    d = put(spark, folder, embeddings=([(i, [float(x) for x in v[i]], label[i]) for i in range(n)], "vec_id bigint, embedding array<float>, label int"))
+    return d, cosines(v.astype(float)), label
+
+
+def test_debiased_rank_ranks_all_rows(spark, tmp_path):
+    d, s, _ = embeddings(spark, tmp_path)
+    asked = list(range(0, len(s), 50))
+    bias = [np.mean([s[q, r] for q in asked if q != r]) for r in range(len(s))]
+    want = {(q, r, k + 1) for q in asked for k, r in enumerate(sorted((r for r in range(len(s)) if r != q), key=lambda r: (-round(s[q, r] - bias[r], 6), r))[:3])}
+    assert any(r % 50 for _, r, _ in want)
+    assert {(r.qid, r.rid, r.rk) for r in QUERIES["debiased_rank"](spark, d).collect()} == want
+
+
+def test_bias_in_blocks(spark):
+    v = np.random.default_rng(6).normal(size=(70, 8))
+    s = cosines(v)
+    t = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(70)], "id bigint, v array<double>")
+    got = {r.rid: r["mean"] for r in simjoin.mean_similarity(t.filter("id % 2 = 0"), t, "cosine", 6, block=16).collect()}
+    assert got.keys() == set(range(70)) and all(abs(got[r] - np.mean([s[q, r] for q in range(0, 70, 2) if q != r])) < 1e-9 for r in got)

@@ -62,15 +62,25 @@ def _joined(arrays: list, kind: type = np.int64) -> np.ndarray:
     return np.concatenate(arrays).astype(kind, copy=False) if arrays else np.zeros(0, kind)
 
 
+def _codes(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each value of both columns, equal for equal ones; nulls are one value."""
+    x = pa.chunked_array([*a.chunks, *b.chunks], a.type).combine_chunks()
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    codes = pc.fill_null(x.dictionary_encode().indices, -1).to_numpy()
+    return codes[: len(a)], codes[len(a) :]
+
+
 def _kind(d: DataFrame, at: int = 0) -> str:
     return d.dtypes[at][1]
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float = -2.0, measure: str = "tanimoto", digits: int = 12, block: int = 4096, others: bool = False, less: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float = -2.0, measure: str = "tanimoto", digits: int = 12, block: int = 4096, others: bool = False, less: str | None = None, below: float = np.inf, apart: str | None = None) -> DataFrame:
     """(qid, rid, sim, rk): for each query the k most similar rows of at least ``floor``, by falling similarity (rounded
     to ``digits``), then id. queries and rows are (id, vector); all vectors have one length. With ``others`` a query never
-    meets a row of its own id; else the caller filters it out afterwards (ask for k + 1). ``less`` names a column of rows
-    that is subtracted from the similarity before anything is ranked (and the difference rounded).
+    meets a row of its own id; else the caller filters it out afterwards (ask for k + 1). Nor does it meet rows that are
+    not ``below`` or, with ``apart``, rows with the same value of that column of both sides (nulls are the same). These
+    hold before the k are taken, so what they exclude is made up for. ``less`` names a column of rows that is subtracted
+    from the similarity before anything is ranked (and the difference rounded).
 
     Both sides are cut into blocks of about ``block`` and every query block meets every row block in its own task, which
     keeps its best k; those are merged by one ranking. Null ids, null vectors and vectors with nulls are left out.
@@ -79,11 +89,17 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float = -2.0, me
     def best(left: pa.Table, right: pa.Table, parts) -> pa.Table:
         li, ri = left.column("id").to_numpy(), right.column("id").to_numpy()
         off = right.column(less).to_numpy() if less else None
+        lg, rg = _codes(left.column(apart), right.column(apart)) if apart else (None, None)
         out_x, out_c, out_s = [], [], []
         for i, s in parts:
             s = s if off is None else np.round(s - off, digits)
             for j, row in enumerate(s):
-                at = np.flatnonzero((row >= floor) & (ri != li[i + j]) if others else row >= floor)
+                ok = (row >= floor) & (row < below)
+                if others:
+                    ok &= ri != li[i + j]
+                if apart:
+                    ok &= rg != lg[i + j]
+                at = np.flatnonzero(ok)
                 if len(at) > k:
                     at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
                 at = at[np.lexsort((ri[at], -row[at]))][:k]

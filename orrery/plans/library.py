@@ -233,13 +233,12 @@ hit as (select l.rid as qid, min(p.rk) as hit_at from lab l join (select distinc
 select count(*) as n_queries, round(avg(case when hit_at <= 1 then 1.0::double else 0 end), 6) as recall_1, round(avg(case when hit_at <= 5 then 1.0::double else 0 end), 6) as recall_5, round(avg(case when hit_at <= 10 then 1.0::double else 0 end), 6) as recall_10 from hit"""
 
 
-def _held_out(spark, d, allowed):
+def _held_out(spark, d, **guards):
+    """Recall of the first 20 neighbours that the guards of ``nearest`` admit, however many these exclude."""
     c = table(spark, d, "chembl").filter("fp is not null").select("cid", "fp", F.substring("smiles", 1, 6).alias("scaffold"))
     asked = c.filter("cid % 50 = 0")
-    near = nearest(asked.select("cid", "fp"), c.select("cid", "fp"), 200, 0.3).drop("rk")
-    marks = near.join(asked.select(F.col("cid").alias("qid"), F.col("scaffold").alias("qs")), "qid").join(c.select(F.col("cid").alias("rid"), F.col("scaffold").alias("rs")), "rid")
     labels = _labels(spark, d)
-    ranked = transfer.transfer_labels(transfer.rank_within(marks.filter(allowed), "qid", F.col("sim").desc(), F.col("rid")), labels)
+    ranked = transfer.transfer_labels(nearest(asked, c, 20, 0.3, others=True, **guards), labels)
     truth = labels.withColumnRenamed("rid", "qid").join(asked.select(F.col("cid").alias("qid")), "qid")
     return evaluate.recall_at(ranked, truth)
 
@@ -247,12 +246,12 @@ def _held_out(spark, d, allowed):
 @query(f"with {LOO}, ok as (select * from pk where qid <> rid and sim < 0.99), {EVAL}")
 def loo_recall_at_k(spark, d):
     """Leave-one-out: neither the ligand itself nor anything as good as it votes."""
-    return _held_out(spark, d, "qid <> rid and sim < 0.99D")
+    return _held_out(spark, d, below=0.99)
 
 
 @query(f"with {LOO}, ok as (select * from pk where qid <> rid and qs is distinct from rs), {EVAL}")
 def scaffold_holdout_recall(spark, d):
-    return _held_out(spark, d, "qid <> rid and not (qs <=> rs)")
+    return _held_out(spark, d, apart="scaffold")
 
 
 @query("""with w as (select acc, count(*) as n, count(*) filter (where confidence >= 0.5) as k from compound_predictions where acc is not null and confidence is not null and not isnan(confidence) group by acc)

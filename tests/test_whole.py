@@ -2,6 +2,8 @@
 
 import numpy as np
 
+import pytest
+
 from orrery.operators import simjoin
 from orrery.plans.library import QUERIES
 
@@ -116,3 +118,25 @@ def test_bias_in_blocks(spark):
     t = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(70)], "id bigint, v array<double>")
     got = {r.rid: r["mean"] for r in simjoin.mean_similarity(t.filter("id % 2 = 0"), t, "cosine", 6, block=16).collect()}
     assert got.keys() == set(range(70)) and all(abs(got[r] - np.mean([s[q, r] for q in range(0, 70, 2) if q != r])) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("name", ["loo_recall_at_k", "scaffold_holdout_recall"])
+def test_guards_hold_before_the_nearest_are_taken(spark, tmp_path, name):
+    """The query has 230 copies of its own scaffold, and one voter farther off, which shares a label with it."""
+    near, voter = frozenset(range(20)), frozenset(range(10))
+    rows = [(50, near, "CCCCCCN")] + [(1000 * i + 1, near, "CCCCCCO") for i in range(1, 231)] + [(59, voter, "NNNNNNO")]
+    d = put(spark, tmp_path, chembl=([(i, fingerprint(b), x) for i, b, x in rows if i == 50 or i % 50], "cid bigint, fp array<bigint>, smiles string"), targets=([(f"P{i}",) for i in range(9)], "acc string"))
+    r = QUERIES[name](spark, d).first()
+    assert (r.n_queries, r.recall_5) == (1, 1.0)
+
+
+def test_guards_in_blocks(spark):
+    sets, fps = crowd(70)
+    group = [None if i % 7 == 0 else f"G{i % 3}" for i in range(70)]
+    t = spark.createDataFrame([(i, f, group[i]) for i, f in enumerate(fps)], "id bigint, v array<bigint>, g string")
+    got = {(r.qid, r.rid, r.rk) for r in simjoin.nearest(t, t, 5, 0.3, block=16, others=True, below=0.7, apart="g").collect()}
+    want = set()
+    for i, a in enumerate(sets):
+        ok = sorted((-s, j) for j, b in enumerate(sets) if j != i and group[i] != group[j] and 0.3 <= (s := tanimoto(a, b)) < 0.7)
+        want |= {(i, j, k + 1) for k, (_, j) in enumerate(ok[:5])}
+    assert got == want

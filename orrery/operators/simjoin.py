@@ -182,3 +182,50 @@ def mean_similarity(queries: DataFrame, rows: DataFrame, measure: str = "tanimot
     found = _in_blocks(queries, rows, add, f"rid {_kind(rows)}, total bigint, n bigint", measure, digits, block)
     sums = found.groupBy("rid").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).filter("n > 0")
     return sums.select("rid", (F.col("total") / F.col("n") / F.lit(10.0**digits)).alias("mean"))
+
+
+def best_ranks(queries: DataFrame, rows: DataFrame, measure: str = "tanimoto", digits: int = 12, block: int = 4096) -> DataFrame:
+    """(qid, label, rank): the place of each label's first row among all rows but the query's own, by falling similarity,
+    then id. rows are (id, vector, label); a null is a label. The first pass over the blocks finds each label's first row,
+    the second counts the rows before it.
+    """
+    name, ids, kind = rows.columns[2], _kind(rows), _kind(rows, 2)
+
+    def first(left: pa.Table, right: pa.Table, parts) -> pa.Table:
+        li, ri = left.column("id").to_numpy(), right.column("id").to_numpy()
+        codes, _ = _codes(right.column(name), right.column(name).slice(0, 0))
+        out_x, out_c, out_s = [], [], []
+        for i, s in parts:
+            for j, row in enumerate(s):
+                order = np.lexsort((ri, -row))
+                order = order[ri[order] != li[i + j]]
+                at = order[np.unique(codes[order], return_index=True)[1]]
+                out_x.append(np.full(len(at), i + j))
+                out_c.append(at)
+                out_s.append(row[at])
+        at = pa.array(_joined(out_c))
+        return pa.table({"qid": left.column("id").take(pa.array(_joined(out_x))), "label": right.column(name).take(at), "sim": pa.array(_joined(out_s, float)), "rid": right.column("id").take(at)})
+
+    def before(left: pa.Table, right: pa.Table, parts) -> pa.Table:
+        li, ri = left.column("id").to_numpy(), right.column("id").to_numpy()
+        flat = pc.list_flatten(left.column("best")).combine_chunks()
+        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+        ends = np.cumsum(pc.list_value_length(left.column("best")).to_numpy())
+        sims, rids = flat.field("sim").to_numpy(), flat.field("rid").to_numpy(zero_copy_only=False)
+        n = np.zeros(len(flat) if right.num_rows else 0, np.int64)
+        for i, s in parts:
+            for j, row in enumerate(s):
+                mine = slice(ends[i + j - 1] if i + j else 0, ends[i + j])
+                m, other = mine.stop - mine.start, ri != li[i + j]
+                order = np.lexsort((np.arange(m + other.sum()) >= m, np.concatenate([rids[mine], ri[other]]), -np.concatenate([sims[mine], row[other]])))
+                passed = np.cumsum(order >= m)
+                n[mine][order[order < m]] = passed[order < m]
+        x = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(n)]
+        return pa.table({"qid": left.column("id").take(pa.array(x)), "label": flat.field("label").slice(0, len(n)), "n": pa.array(n)})
+
+    tops = _in_blocks(queries, rows, first, f"qid {_kind(queries)}, label {kind}, sim double, rid {ids}", measure, digits, block)
+    tops = tops.groupBy("qid", "label").agg(F.min(F.struct((-F.col("sim")).alias("o"), "rid", "sim")).alias("b"))
+    best = tops.groupBy("qid").agg(F.collect_list(F.struct("label", "b.sim", "b.rid")).alias("best"))
+    asked = queries.join(best.withColumnRenamed("qid", queries.columns[0]), queries.columns[0]).select(*queries.columns[:2], "best")
+    found = _in_blocks(asked, rows.select(*rows.columns[:2]), before, f"qid {_kind(queries)}, label {kind}, n bigint", measure, digits, block)
+    return found.groupBy("qid", "label").agg((F.sum("n") + 1).alias("rank"))

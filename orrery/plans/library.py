@@ -10,7 +10,7 @@ from orrery.functions import hashing, scores, text
 from orrery.functions.filters import compile_filter
 from orrery.operators import delta, evaluate, transfer
 from orrery.operators.provenance import provenance, span
-from orrery.operators.simjoin import count_within, label_sums, mean_similarity, nearest
+from orrery.operators.simjoin import best_ranks, count_within, label_sums, mean_similarity, nearest
 from orrery.session import cut, table
 
 QUERIES: dict = {}
@@ -652,9 +652,10 @@ def debiased_rank(spark, d):
 
 @query(f"with {COS} select qid, lb as label, min(rk) as best_rank from (select qid, lb, row_number() over (partition by qid order by sim desc, rid) as rk from cs qualify rk <= 50) group by qid, lb")
 def best_rank_per_label(spark, d):
-    near = transfer.rank_within(_cosine(spark, d, 51).filter("qid <> rid").drop("rk"), "qid", F.col("sim").desc(), F.col("rid")).filter("rk <= 50")
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("rid"), "label")
-    return near.join(labels, "rid").groupBy("qid", "label").agg(F.min("rk").cast("bigint").alias("best_rank"))
+    """The place of every label's best row among all rows, however far down."""
+    e = table(spark, d, "embeddings")
+    found = best_ranks(e.filter("vec_id % 50 = 0").select("vec_id", "embedding"), e.select("vec_id", "embedding", "label"), measure="cosine", digits=6)
+    return found.select("qid", "label", F.col("rank").alias("best_rank"))
 
 
 @query("""with p as (select distinct cid, upper(trim(a)) as acc, c from (select cid, unnest(pred_accs) as a, unnest(pred_confs) as c from validate_patent_text_support) where a is not null and trim(a) <> ''),

@@ -96,9 +96,10 @@ def cosines(vectors):
 
 
 def embeddings(spark, folder, n=220, labels=5):
-    """Random vectors; every query (id divisible by 50) lies far from the rows of the last label."""
+    """Random vectors, those of the last label opposite to all others."""
     v = np.random.default_rng(5).normal(size=(n, 8)).astype(np.float32)
-    label = [i % labels for i in range(n)]
+    label = [(i * 3 + 1) % labels for i in range(n)]
+    v[:, 0] = np.where(np.array(label) == labels - 1, -9, 9)
     d = put(spark, folder, embeddings=([(i, [float(x) for x in v[i]], label[i]) for i in range(n)], "vec_id bigint, embedding array<float>, label int"))
     return d, cosines(v.astype(float)), label
 
@@ -140,3 +141,27 @@ def test_guards_in_blocks(spark):
         ok = sorted((-s, j) for j, b in enumerate(sets) if j != i and group[i] != group[j] and 0.3 <= (s := tanimoto(a, b)) < 0.7)
         want |= {(i, j, k + 1) for k, (_, j) in enumerate(ok[:5])}
     assert got == want
+
+
+def ranks(s, asked, label):
+    want = {}
+    for q in asked:
+        for k, r in enumerate(sorted((r for r in range(len(s)) if r != q), key=lambda r: (-s[q, r], r))):
+            want.setdefault((q, label[r]), k + 1)
+    return want
+
+
+def test_best_rank_goes_down_to_the_last_row(spark, tmp_path):
+    d, s, label = embeddings(spark, tmp_path)
+    want = ranks(s, range(0, len(s), 50), label)
+    assert max(want.values()) > 150
+    assert {(r.qid, r.label): r.best_rank for r in QUERIES["best_rank_per_label"](spark, d).collect()} == want
+
+
+def test_best_ranks_in_blocks_with_ties_and_nulls(spark):
+    v = np.random.default_rng(7).integers(-1, 2, size=(90, 3)) * 1.0
+    v[:, 0] = 1
+    label = [None if i % 11 == 0 else f"L{i % 6}" for i in range(90)]
+    t = spark.createDataFrame([(i, [float(x) for x in v[i]], label[i]) for i in range(90)], "id bigint, v array<double>, label string")
+    got = {(r.qid, r.label): r["rank"] for r in simjoin.best_ranks(t.filter("id % 2 = 0").select("id", "v"), t, "cosine", 6, block=16).collect()}
+    assert got == ranks(cosines(v), range(0, 90, 2), label)

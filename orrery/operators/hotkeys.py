@@ -2,101 +2,95 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from orrery.session import cut
 
-def key_histogram(df: DataFrame, keys: Sequence[str], value: str, cells: int = 64) -> DataFrame:
-    """(keys, cell, n, lo, hi): rows of every key counted by the hash-free cell of their value, cells being equal
-    parts of the value's whole range. Counts are combined before the shuffle, so a task receives at most ``cells``
-    rows of a key from each other task, however many records the key has. Null keys and null values do not count.
-    """
-    rows = df.dropna(subset=[*keys, value])
-    span = rows.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    cell = F.least(F.floor((F.col(value).cast("double") - F.col("_lo")) / width * cells), F.lit(cells - 1)).cast("int")
-    # one row on the right: the smallest side a broadcast can have
-    return (
-        rows.join(F.broadcast(span))
-        .withColumn("cell", cell)
-        .groupBy(*keys, "cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    )
-
-
-def distinct_items_per_key(df: DataFrame, keys: Sequence[str], item: str, cells: int = 64) -> DataFrame:
-    """(keys, n): how many different items name each key, as the total of the key's item histogram. Repeats of one
-    (key, item) are removed first, grouped by both, which spreads a hot key by its items."""
-    once = df.dropna(subset=[*keys, item]).select(*keys, item).distinct()
-    return key_histogram(once, keys, item, cells).groupBy(*keys).agg(F.sum("n").alias("n"))
-
-
-def exact_quantiles(
-    df: DataFrame, key: str, value: str, probs: Sequence[float], hot_share: float = 0.005, cells: int = 256, max_rounds: int = 40
-) -> DataFrame:
-    """(key, n, q0, q1, ...): exact lower quantiles of a DOUBLE value for every key: the value of rank
-    max(1, ceil(p * n)) in ascending order.
-
-    Keys with more than ``hot_share`` of all rows number at most 1 / hot_share; only these are refined: their value
-    range is cut into ``cells`` cells, the cell holding the wanted rank becomes the next range, until it holds one
-    value. Each round moves (hot keys x probs x cells) counters at most and no values. All other keys hold at most
-    hot_share of the rows each and are ranked by sorting. Null keys, null and NaN values are left out; no rows give an
-    empty result.
+SIGN = np.int64(-(2**63))
+
+
+def ordered_bits(v: np.ndarray) -> np.ndarray:
+    """BIGINTs in the order of the doubles, infinities included; both zeros are one value."""
+    b = (v + 0.0).view(np.int64)
+    return np.where(b < 0, SIGN - b - 1, b)
+
+
+def from_ordered_bits(c: np.ndarray) -> np.ndarray:
+    return np.where(c < 0, SIGN - c - 1, c).view(np.float64)
+
+
+def _mapped(df: DataFrame, names: Sequence[str], kind: str, convert) -> DataFrame:
+    """``df`` with the columns ``names`` (without nulls) converted batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [pa.array(convert(x.to_numpy(zero_copy_only=False))) if n in names else x for n, x in zip(batch.schema.names, batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return df.mapInArrow(run, ", ".join(f"`{n}` {kind if n in names else k}" for n, k in df.dtypes))
+
+
+def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Column, distinct: bool = False, bits: int = 12, salts: int = 16) -> DataFrame:
+    """(keys, n, rank, value): for every key the values at the wanted ranks, from 1 in ascending order, of a BIGINT.
+
+    ``ranks`` is an ARRAY<BIGINT> made from the column ``n``, the key's number of values; ranks beyond it give no row.
+    With ``distinct`` equal values of a key count once. Null keys and values are left out; no rows give an empty result.
+
+    Equal values are counted first, combined before the shuffle and spread by key and value, so that neither a hot key
+    nor a hot value is met by one task. Then each key's value range is cut into cells, of which only counts, least and
+    greatest value are kept (at most 2 ** bits a key); the cells that hold wanted ranks become the next, narrower ranges,
+    until they hold one value. Every key is treated alike. A round meets only the values inside the cells still open,
+    through a join that spreads each cell over ``salts`` tasks; there are at most 64 / bits rounds.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).filter(
-        F.col("_k").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
-    sizes = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
-    limit = max(1.0, hot_share * total)
-    hot = sizes.filter(F.col("_n") > limit).collect()  # at most 1 / hot_share rows
-    key_type = rows.schema["_k"].dataType
-    names = [f"q{i}" for i in range(len(probs))]
-    found: dict[tuple, float] = {}
-    # a state is (key, prob index, rank still wanted inside the range, low, high); high is included
-    states = [(r._k, i, max(1, -int(-p * r._n // 1)), r._lo, r._hi) for r in hot for i, p in enumerate(probs)]
-    state_schema = T.StructType(
-        [T.StructField("_k", key_type), T.StructField("_i", T.IntegerType()), T.StructField("_r", T.LongType()), T.StructField("_a", T.DoubleType()), T.StructField("_b", T.DoubleType())]
-    )
-    for _ in range(max_rounds):
-        for k, i, _r, a, b in states:
-            if a == b:
-                found[k, i] = a
-        states = [s for s in states if s[3] != s[4]]
-        if not states:
+    keys = list(keys)
+    k = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(x).alias(y) for x, y in zip(keys, k)], F.col(value).cast("bigint").alias("_v")).dropna()
+    counted = rows.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    if distinct:
+        counted = counted.withColumn("_c", F.lit(1).cast("bigint"))
+    counted = cut(counted)
+    low, high = counted.agg(F.min("_v"), F.max("_v")).first()
+    left = ((low or 0) ^ (high or 0)).bit_length() if (low or 0) >= 0 or (high or 0) < 0 else 64
+    shift = max(0, left - bits)
+    cell = F.shiftright("_v", shift)
+    cells = counted.groupBy(*k, cell.alias("_cell")).agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    upto = F.sum("_c").over(Window.partitionBy(*k).orderBy("_cell"))
+    total = F.sum("_c").over(Window.partitionBy(*k))
+    wanted = cells.withColumn("_upto", upto).withColumn("n", total).withColumn("_r", F.explode(F.array_distinct(ranks)))
+    wanted = wanted.filter((F.col("_r") <= F.col("_upto")) & (F.col("_r") > F.col("_upto") - F.col("_c")))
+    state = cut(wanted.select(*k, "n", "_r", (F.col("_r") - F.col("_upto") + F.col("_c")).alias("_want"), "_cell", "_lo", "_hi"))
+    done = []
+    while True:
+        done.append(state.filter("_lo = _hi").select(*k, "n", "_r", F.col("_lo").alias("_v")))
+        if shift == 0 or state.filter("_lo < _hi").isEmpty():
             break
-        bounds = F.broadcast(spark.createDataFrame(states, state_schema))
-        cell = F.least(F.floor((F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * cells), F.lit(cells - 1)).cast("int")
-        counted = (
-            rows.join(bounds, "_k")
-            .filter(F.col("_v").between(F.col("_a"), F.col("_b")))
-            .groupBy("_k", "_i", cell.alias("_c"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-            .collect()  # at most (hot keys x probs x cells) rows
-        )
-        by: dict[tuple, list] = {}
-        for c in counted:
-            by.setdefault((c._k, c._i), []).append((c._c, c.n, c.lo, c.hi))
-        nxt = []
-        for k, i, want, _a, _b in states:
-            for _c, n, lo, hi in sorted(by[k, i]):
-                if want <= n:
-                    nxt.append((k, i, want, lo, hi))
-                    break
-                want -= n
-        states = nxt
-    if states:
-        raise RuntimeError(f"{len(states)} ranks unresolved after {max_rounds} rounds")
-    # the rest: no key holds more than hot_share of the rows; ranked by a sort that can spill
-    hot_keys = spark.createDataFrame([(r._k,) for r in hot], T.StructType([T.StructField("_k", key_type)]))
-    w = Window.partitionBy("_k")
-    ranked = rows.join(F.broadcast(hot_keys), "_k", "left_anti").select("_k", "_v", F.row_number().over(w.orderBy("_v")).alias("_rank"), F.count(F.lit(1)).over(w).alias("_n"))
-    wanted = [F.max(F.when(F.col("_rank") == F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n"))), F.col("_v"))).alias(q) for p, q in zip(probs, names)]
-    tail = ranked.groupBy(F.col("_k").alias(key), F.col("_n").alias("n")).agg(*wanted)
-    out_schema = T.StructType([T.StructField(key, key_type), T.StructField("n", T.LongType()), *[T.StructField(q, T.DoubleType()) for q in names]])
-    head = spark.createDataFrame([(r._k, r._n, *[found[r._k, i] for i in range(len(probs))]) for r in hot], out_schema)
-    return head.unionByName(tail)
+        asked, below = state.filter("_lo < _hi"), shift
+        shift = max(0, shift - bits)
+        open_cells = asked.select(*k, "_cell").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        inside = counted.withColumn("_cell", F.shiftright("_v", below)).withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int")).join(open_cells, [*k, "_cell", "_salt"])
+        parts = inside.groupBy(*k, "_cell", F.shiftright("_v", shift).alias("_part")).agg(F.sum("_c").alias("_c"), F.min("_v").alias("_plo"), F.max("_v").alias("_phi"))
+        parts = parts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*k, "_cell").orderBy("_part")))
+        hit = asked.join(parts, [*k, "_cell"]).filter((F.col("_want") <= F.col("_upto")) & (F.col("_want") > F.col("_upto") - F.col("_c")))
+        state = cut(hit.select(*k, "n", "_r", (F.col("_want") - F.col("_upto") + F.col("_c")).alias("_want"), F.col("_part").alias("_cell"), F.col("_plo").alias("_lo"), F.col("_phi").alias("_hi")))
+    found = reduce(DataFrame.unionByName, done)
+    return found.select(*[F.col(y).alias(x) for x, y in zip(keys, k)], "n", F.col("_r").alias("rank"), F.col("_v").alias("value"))
+
+
+def exact_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float]) -> DataFrame:
+    """(key, n, q0, q1, ...): exact lower quantiles of a number for every key: the value of rank max(1, ceil(p * n)) in
+    ascending order, found by ``select_ranks`` over the order-preserving bits of the doubles.
+
+    Null keys, null and NaN values are left out, infinities are values like others; no rows give an empty result.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("k is not null and v is not null and not isnan(v)")
+    rank = lambda p: F.greatest(F.lit(1).cast("bigint"), F.ceil(F.lit(float(p)) * F.col("n")))
+    found = select_ranks(_mapped(rows, ["v"], "bigint", ordered_bits), ["k"], "v", F.array(*map(rank, probs)))
+    per = found.groupBy("k", "n").agg(*[F.max(F.when(F.col("rank") == rank(p), F.col("value"))).alias(f"q{i}") for i, p in enumerate(probs)])
+    out = _mapped(per, [f"q{i}" for i in range(len(probs))], "double", from_ordered_bits)
+    return out.withColumnRenamed("k", key)

@@ -11,14 +11,19 @@ from orrery.session import free_name
 
 
 def graded_bin(parts: Sequence[tuple[Column, float, float, int]]) -> Column:
-    """A BIGINT that never falls when a row ranks earlier: each (score, low, high, cells) is cut into equal cells,
-    the first score weighing most. Scores outside low..high are put in the outermost cells, which keeps the order.
-    A later score only refines rows whose earlier scores are equal, so an earlier score must have one cell for each
-    of its values (integers), else only the first score may be used."""
-    out = F.lit(0).cast("bigint")
+    """A BIGINT that never falls when a row ranks earlier by the scores, all falling: each (score, low, high, cells) is
+    cut into equal cells, the first score weighing most. The low end of a cell is refined by the next score; whatever
+    lies higher in the cell, or beyond ``high``, gets the cell's last place, and what lies below ``low`` its first. So
+    the order holds for all values, and a range that fits the data only makes the bins finer. NaN counts as highest, a
+    null score gives a null bin."""
+    out, exact, above = F.lit(0).cast("bigint"), F.lit(True), F.lit(False)
     for score, low, high, cells in parts:
-        cell = F.floor((score.cast("double") - low) / (high - low) * cells)
-        out = out * cells + F.least(F.greatest(cell, F.lit(0)), F.lit(cells - 1)).cast("bigint")
+        x = (score.cast("double") - low) / (high - low) * cells
+        place = F.when(F.isnan(x) | (x >= cells), F.lit(cells - 1)).otherwise(F.greatest(F.floor(x), F.lit(0))).cast("bigint")
+        place = F.when(exact, place).when(above, F.lit(cells - 1)).otherwise(F.lit(0))
+        out = F.when(score.isNotNull(), out * cells + place)
+        edge = place * ((high - low) / cells) + low  # one value only, so rows that are refined are equal so far
+        above, exact = above | (exact & (F.isnan(x) | (score > edge))), exact & ~F.isnan(x) & (score == edge)
     return out
 
 

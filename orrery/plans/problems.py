@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators.hotkeys import distinct_items_per_key, exact_quantiles
+from orrery.operators.hotkeys import exact_quantiles, select_ranks
 from orrery.operators.snapshots import snapshot_changes
 from orrery.operators.topn import graded_bin, latest_rows, top_n_per_group
 from orrery.session import table
@@ -16,12 +16,14 @@ def _named_keys(t: DataFrame, field: str) -> DataFrame:
     return t.select("cid", F.explode(field).alias("raw")).select("cid", F.lit(field).alias("field_name"), key.alias("key_value")).filter("key_value <> ''")
 
 
-def p4_found(spark: SparkSession, sf_dir: str, share: float = 0.05) -> DataFrame:
+def p4_found(spark: SparkSession, sf_dir: str, percent: int = 5) -> DataFrame:
+    """A key is named by so many cids exactly if the selection finds its cid of that rank among its different ones."""
     t = table(spark, sf_dir, "validate_patent_text_support")
     named = _named_keys(t, "pat_nums").unionByName(_named_keys(t, "pred_accs"))
-    total = t.select("cid").distinct().agg(F.count("cid").alias("total"))
-    per_key = distinct_items_per_key(named, ["field_name", "key_value"], "cid")
-    return per_key.join(F.broadcast(total)).filter(F.col("n") >= F.col("total") * F.lit(share)).select("field_name", "key_value")
+    total = t.select("cid").distinct().agg(F.count("cid")).first()[0]
+    least = F.lit(max(1, -(-percent * total // 100))).cast("bigint")
+    found = select_ranks(named, ["field_name", "key_value"], "cid", F.array(least), distinct=True)
+    return found.select("field_name", "key_value")
 
 
 def p4_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from orrery.operators.hotkeys import distinct_items_per_key, exact_quantiles, key_histogram
+from orrery.operators.hotkeys import exact_quantiles, from_ordered_bits, ordered_bits, select_ranks
 from orrery.operators.snapshots import snapshot_changes
 from orrery.operators.topn import graded_bin, latest_rows, top_n_per_group
 
@@ -32,6 +33,20 @@ def test_top_n_equals_sorting(spark, rows):
     assert got == want
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from([-9, -1, 0, 3, 7, 8, 9, 33, 44]), st.sampled_from([-2.0, 0.01, 0.5, 0.99, 1.0, 7.0]), st.integers(0, 99)), max_size=40))
+def test_top_n_beyond_the_range_of_the_bins(spark, rows):
+    got = [(r.s, r.c, r.i) for r in ranked(spark.createDataFrame([("a", *r) for r in rows], "g string, s int, c double, i bigint")).orderBy("rank").collect()]
+    assert got == sorted(rows, key=lambda r: (-r[0], -r[1], r[2]))[:3]
+
+
+def test_bins_never_rise_along_the_order(spark):
+    rows = [(s, c) for s in (-1.5, 0.0, 0.3, 1.0, 1.7, 8.0, 8.5, 40.0, math.inf, math.nan) for c in (-1.0, 0.0, 0.4, 0.99, 1.0, 3.0, math.nan)]
+    df = spark.createDataFrame(rows, "s double, c double")
+    bins = [r.b for r in df.select("s", "c", graded_bin([(F.col("s"), 0, 8, 8), (F.col("c"), 0.0, 1.0, 16)]).alias("b")).orderBy(F.desc("s"), F.desc("c")).collect()]
+    assert bins == sorted(bins, reverse=True) and len(set(bins)) > 5
+
+
 def test_top_n_awkward(spark):
     schema = "g string, s int, c double, i bigint, bin string, rank int, Salt string"
     assert ranked(spark.createDataFrame([], schema)).count() == 0
@@ -45,23 +60,46 @@ def test_latest_rows(spark):
     assert {(r.k, r.x) for r in latest_rows(df, ["k"], "v", ["x"]).collect()} == {(1, "c"), (2, "d")}
 
 
-@pytest.mark.parametrize("share", [0.005, 0.3, 1.0])
-def test_exact_quantiles(spark, share):
-    rows = [("hot", float((i * 37) % 101) / 7) for i in range(900)] + [("even", 2.5)] * 50 + [(f"k{i % 20}", float(i)) for i in range(100)] + [(None, 1.0), ("hot", None), ("hot", math.nan)]
-    out = exact_quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", [0.0, 0.5, 0.9, 1.0], hot_share=share, cells=4)
+def quantiles(rows, probs):
     by = defaultdict(list)
     for k, v in rows:
         if k is not None and v is not None and v == v:
             by[k].append(v)
-    want = {k: (len(v), *[sorted(v)[max(1, math.ceil(p * len(v))) - 1] for p in (0.0, 0.5, 0.9, 1.0)]) for k, v in by.items()}
-    assert {r.k: (r.n, r.q0, r.q1, r.q2, r.q3) for r in out.collect()} == want
+    return {k: (len(v), *[sorted(v)[max(1, math.ceil(p * len(v))) - 1] for p in probs]) for k, v in by.items()}
+
+
+def test_exact_quantiles(spark):
+    rows = [("hot", float((i * 37) % 101) / 7) for i in range(900)] + [("even", 2.5)] * 50 + [(f"k{i % 20}", float(i)) for i in range(100)] + [(None, 1.0), ("hot", None), ("hot", math.nan)]
+    rows += [("ends", math.inf), ("ends", -math.inf), ("ends", -0.0), ("ends", 5e-324), ("ends", -1e308), ("infinite", math.inf)]
+    probs = (0.0, 0.5, 0.9, 1.0)
+    out = exact_quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", probs)
+    assert {r.k: (r.n, r.q0, r.q1, r.q2, r.q3) for r in out.collect()} == quantiles(rows, probs)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["a", "a", "b"]), st.floats(allow_nan=False)), min_size=1, max_size=60))
+def test_quantiles_of_any_doubles(spark, rows):
+    out = exact_quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", [0.3, 0.5])
+    assert {r.k: (r.n, r.q0, r.q1) for r in out.collect()} == quantiles(rows, (0.3, 0.5))
+
+
+def test_ordered_bits():
+    v = np.array([-np.inf, -1e308, -1.5, -5e-324, 0.0, 5e-324, 1.0, np.inf])
+    c = ordered_bits(v)
+    assert (np.diff(c) > 0).all() and (from_ordered_bits(c) == v).all() and ordered_bits(np.array([-0.0])) == ordered_bits(np.array([0.0]))
+
+
+def test_ranks_of_different_values(spark):
+    rows = [("a", v) for v in (5, 5, 5, -7, 2**62, 0)] + [("b", 1)] * 9 + [(None, 3), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, v bigint")
+    ranks = F.array(F.lit(2), F.lit(4)).cast("array<bigint>")
+    assert {tuple(r) for r in select_ranks(df, ["k"], "v", ranks, distinct=True).collect()} == {("a", 4, 2, 0), ("a", 4, 4, 2**62)}
+    assert {tuple(r) for r in select_ranks(df, ["k"], "v", ranks).collect()} == {("a", 6, 2, 0), ("a", 6, 4, 5), ("b", 9, 2, 1), ("b", 9, 4, 1)}
 
 
-def test_hot_keys_empty_and_repeats(spark):
+def test_hot_keys_empty(spark):
     none = spark.createDataFrame([], "k string, v double")
-    assert exact_quantiles(none, "k", "v", [0.5]).count() == 0 and key_histogram(none, ["k"], "v").count() == 0
-    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), (None, 3), ("b", None)], "k string, v bigint")
-    assert {(r.k, r.n) for r in distinct_items_per_key(df, ["k"], "v").collect()} == {("a", 2)}
+    assert exact_quantiles(none, "k", "v", [0.5]).count() == 0
 
 
 SNAP = "rel string, k string, t string, a array<string>, s struct<x:string,y:string>, l array<struct<p:string,q:string>>, at int"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.leaks import leaked_items
-from orrery.llm.lookalike import COMPATIBLE, SKELETON, consistent_texts, lookalike_pairs
+from orrery.llm.lookalike import COMPATIBLE, FOREIGN_LIKE, consistent_texts, lookalike_pairs
 from orrery.llm.mixing import mix_sources
 from orrery.llm.names import name_entities, same_entity_pairs
 from orrery.llm.split import split_texts
@@ -105,8 +105,8 @@ def _form_sql(text: str) -> str:
     wide = {i: c for i, c in COMPATIBLE.items() if c is not None and i != 0x20 and len(c) == 1}
     plain = f"translate(nfc_normalize({text}), '{''.join(map(chr, wide))}', '{''.join(wide.values()).replace(chr(39), chr(39) * 2)}')"
     seen = f"regexp_replace({plain}, '[\\p{{Cf}}\\x{{fe00}}-\\x{{fe0f}}\\x{{34f}}]', '', 'g')"
-    twins = {chr(i): c for i, c in SKELETON.items()}
-    for i in range(0x370, 0x530):  # composed letters whose base is a look-alike
+    twins = {chr(i): c for i, c in FOREIGN_LIKE.items()}
+    for i in range(0x370, 0x590):  # composed letters whose base is a look-alike
         base, *marks = unicodedata.normalize("NFD", chr(i))
         if marks and base in twins and len(both := unicodedata.normalize("NFC", twins[base] + "".join(marks))) == 1:
             twins[chr(i)] = both

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from orrery.llm.leaks import leaked_items, words_of
-from orrery.llm.lookalike import OPTIONS, Lattice, consistent_texts, lookalike_pairs, skeleton
+from orrery.llm.lookalike import MEMBERS, SKELETON, Lattice, consistent_texts, letter_pairs, lookalike_pairs, skeleton
 from orrery.llm.split import split_spans, split_texts
 
 
@@ -50,7 +50,8 @@ def test_split_table(spark):
 def disguised(text, data):
     out = []
     for c in text:
-        options = [x for x in OPTIONS.get(c, [c]) if x]
+        options = list("".join(MEMBERS[SKELETON[ord(c)]])) if ord(c) in SKELETON else [c]
+        options = [x for x in options if x not in "Ӏӏ"]
         c = data.draw(st.sampled_from(options))
         if "!" <= c <= "~" and data.draw(st.booleans()):
             c = chr(ord(c) + 0xFEE0)
@@ -73,6 +74,30 @@ def test_visible_differences_stay(a, b):
     assert Lattice().text(a) != Lattice().text(b)
 
 
+@pytest.mark.parametrize("pair", ["νv", "υu", "ιi", "χx", "ρp", "ԁd", "ҮY", "УY", "օo", "ոn", "ՏS", "һh", "ԛq", "ѵv", "ՍU", "հh"])
+def test_letters_of_one_shape(pair):
+    assert Lattice().text(f"spe{pair[0]}trum") == Lattice().text(f"spe{pair[1]}trum") and Lattice().text(pair[0]) == Lattice().text(pair[1])
+
+
+def test_the_lattice_decides_between_readings():
+    """The same typed letter equals I in one word and l in another, by what other texts have."""
+    pairs = {("^", "I"): 50, ("I", "n"): 50, ("a", "l"): 90, ("l", "l"): 40, ("^", "a"): 90}
+    assert Lattice(pairs).text("Ӏn aӏӏ") == "In all"
+    assert Lattice({("^", "l"): 50, ("l", "n"): 50}).text("Ӏn") == "ln"
+
+
+def test_pairs_over_copies(spark):
+    rows = [(i, "The rôle of it") for i in range(400)] + [(1000, "Тhе rôle of it"), (1001, "Ｔhe rôle of it")]
+    out = {tuple(r) for r in lookalike_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {(i, d) for i in range(400) for d in (1000, 1001)} | {(1000, 1001)}
+
+
+def test_letter_pairs(spark):
+    df = spark.createDataFrame([("he H́e",), ("нет",), (None,), ("cop 漢字he",), ("",)], "text string")
+    assert letter_pairs(df) == {("^", "н"): 1, ("н", "е"): 1, ("е", "т"): 1}
+    assert letter_pairs(spark.createDataFrame([("the β-rest réal",)], "text string"))["t", "h"] == 1
+
+
 def test_forms_are_readable():
     lattice = Lattice({("^", "у"): 10_000})
     assert lattice.text("Incluyó 859 niños y 896 adultos") == "Incluyó 859 niños y 896 adultos"

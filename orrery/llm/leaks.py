@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,117 +33,168 @@ def _run_hashes(ids: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
+SLACK = np.float32(1 - 1e-4)
+
+
+def _mixed(hashes: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """One number for a run of words in an item."""
+    with np.errstate(over="ignore"):
+        return hashes ^ ((items.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9))
+
+
 class ItemIndex:
-    """BM25 weights of the words of test items, divided by each item's own threshold: the least weight that ``run``
-    consecutive words of it can have. A passage holding such a run therefore scores at least 1 for the item, and no item
-    that leaks can be missed. Items lie in blocks of ``block``; the greatest weight of a word in a block bounds its
-    items' scores, so blocks under 1 are skipped and only the others scored."""
+    """Inverted index of test items: the postings (term, item) in order with their BM25 weights, the greatest weight of
+    every term, and beside each posting that of its term within its block of ``block`` items. All arrays grow with the
+    postings, none with terms times items.
 
-    def __init__(self, items: list[tuple[int, str]], run: int = 12, block: int = 32, k1: float = 1.2, b: float = 0.75):
+    Weights are divided by each item's own threshold, the least weight that ``run`` consecutive words of it can have. A
+    passage that holds such a run scores at least 1 for the item, so no item that leaks is missed, and a passage whose
+    words are worth less than the cheapest run of an item is not compared with it."""
+
+    def __init__(self, items: list[tuple[int, str]], run: int = 12, block: int = 64, k1: float = 1.2, b: float = 0.75):
         kept = [(i, w) for i, t in items if len(w := words_of(t)) >= run]
-        self.run, self.block = run, block
+        self.run, self.block, self.n = run, block, max(1, len(kept))
         self.vocab: dict[str, int] = {}
         seqs = [np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64) for _i, w in kept]
-        df = Counter(t for s in seqs for t in set(s.tolist()))
-        mean = sum(map(len, seqs)) / max(1, len(seqs))
-        n_blocks = -(-len(seqs) // block) if seqs else 0
         self.ids = [i for i, _w in kept]
-        self.weights = np.zeros((len(self.vocab), n_blocks * block), np.float32)
-        idf = {t: math.log(1 + (len(seqs) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        hashes, owners = [], []
+        self.none = len(self.vocab)  # stands for no term
+        df = np.bincount(np.concatenate([np.unique(s) for s in seqs]), minlength=self.none) if seqs else np.zeros(0)
+        idf = np.log(1 + (len(seqs) - df + 0.5) / (df + 0.5))
+        mean = sum(map(len, seqs)) / max(1, len(seqs))
+        keys, weights, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [np.zeros(0, np.uint64)]
         for at, s in enumerate(seqs):
-            w = {t: idf[t] * f * (k1 + 1) / (f + k1 * (1 - b + b * len(s) / mean)) for t, f in Counter(s.tolist()).items()}
-            least = min(sum(w[t] for t in set(s[j : j + run].tolist())) for j in range(len(s) - run + 1))
-            for t, x in w.items():
-                self.weights[t, at] = x / least
-            h = _run_hashes(s, run)
-            hashes.append(h)
-            owners.append(np.full(len(h), at))
-        self.tops = self.weights.reshape(len(self.vocab), n_blocks, block).max(2) if n_blocks else np.zeros((0, 0), np.float32)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        o = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.owners = h[order], o[order]
-
-    def candidates(self, terms: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, item place) of all scores of 1 or more. terms: the different known words of all passages one after
-        another; starts: where each passage begins (none is empty)."""
-        slack = np.float32(1 - 1e-4)
-        bound = np.add.reduceat(self.tops[terms], starts, axis=0)
-        size = np.diff(np.r_[starts, len(terms)])
-        out_p, out_i = [], []
-        for blk in range(self.tops.shape[1]):
-            p = np.flatnonzero(bound[:, blk] >= slack)
-            if not len(p):
-                continue
-            n = size[p]
-            first = np.r_[0, np.cumsum(n)[:-1]]
-            at = np.repeat(starts[p] - first, n) + np.arange(n.sum())
-            score = np.add.reduceat(self.weights[terms[at], blk * self.block : (blk + 1) * self.block], first, axis=0)
-            x, y = np.nonzero(score >= slack)
-            out_p.append(p[x])
-            out_i.append(y + blk * self.block)
-        return (np.concatenate(out_p), np.concatenate(out_i)) if out_p else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _search(index: ItemIndex, window: int):
-    run, step = index.run, window - index.run + 1
+            terms, place, f = np.unique(s, return_inverse=True, return_counts=True)
+            w = idf[terms] * f * (k1 + 1) / (f + k1 * (1 - b + b * len(s) / mean))
+            runs = np.sort(np.lib.stride_tricks.sliding_window_view(place, run), axis=1)
+            first = np.diff(runs, axis=1, prepend=-1) > 0  # each term of a run once
+            keys.append(terms * self.n + at)
+            weights.append((w / (w[runs] * first).sum(1).min()).astype(np.float32))
+            marks.append(_mixed(_run_hashes(s, run), np.full(len(runs), at)))
+        keys, weights = np.concatenate(keys), np.concatenate(weights)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.weights, self.marks = keys[order], weights[order], np.unique(np.concatenate(marks))
+        term, item = self.keys // self.n, self.keys % self.n
+        starts = np.flatnonzero(np.diff(term * (self.n // block + 1) + item // block, prepend=-1))
+        size = np.diff(np.r_[starts, len(term)])
+        self.block_tops = np.repeat(np.maximum.reduceat(self.weights, starts), size) if len(starts) else self.weights
+        self.tops = np.zeros(self.none + 1, np.float32)
+        np.maximum.at(self.tops, term, self.weights)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.weights, self.block_tops, self.tops, self.marks))
+
+    def _seek(self, terms: np.ndarray, item: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the postings, item) of each term's first posting at or after ``item``; item n if there is none."""
+        at = np.searchsorted(self.keys, terms * self.n + item)
+        key = self.keys[np.minimum(at, len(self.keys) - 1)]
+        return at, np.where((at < len(self.keys)) & (key < (terms + 1) * self.n), key - terms * self.n, self.n)
+
+    def candidates(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item) of all scores of 1 or more, by block-max WAND. terms: a row of different terms for each
+        passage, filled up with ``none``. All passages move their cursors together: those are sorted by their item, the
+        pivot is where the greatest weights first add up to 1; if the block maxima there do not, the cursors jump behind
+        the block, else they meet at the pivot, which is scored."""
+        out_p, out_i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        p = np.flatnonzero(self.tops[terms].sum(1) >= SLACK)
+        t, last = terms[p], len(self.keys) - 1
+        pos, cur = self._seek(t, 0)
+        while len(p):
+            order = np.argsort(cur, axis=1, kind="stable")
+            t, pos, cur = (np.take_along_axis(x, order, 1) for x in (t, pos, cur))
+            reach = np.cumsum(np.where(cur < self.n, self.tops[t], np.float32(0)), axis=1) >= SLACK
+            live = reach[:, -1]
+            p, t, pos, cur, reach = (x[live] for x in (p, t, pos, cur, reach))
+            pivot = np.take_along_axis(cur, reach.argmax(1)[:, None], 1)
+            upto = cur <= pivot
+            x, y = np.nonzero(upto)
+            # a cursor still in an earlier block is bounded by its term's greatest weight
+            near = cur[x, y] // self.block == pivot[x, 0] // self.block
+            bound = np.bincount(x, np.where(near, self.block_tops[np.minimum(pos[x, y], last)], self.tops[t[x, y]]), len(p))
+            good = bound >= SLACK
+            level = good & (cur[:, 0] == pivot[:, 0])
+            there = np.flatnonzero(level[x])
+            score = np.bincount(x[there], self.weights[pos[x[there], y[there]]], len(p))
+            hit = level & (score >= SLACK)
+            out_p.append(p[hit])
+            out_i.append(pivot[hit, 0])
+            behind = np.minimum((pivot[:, 0] // self.block + 1) * self.block, np.where(upto, self.n, cur).min(1))
+            target = np.where(level, pivot[:, 0] + 1, np.where(good, pivot[:, 0], behind))
+            move = cur[x, y] < target[x]
+            x, y = x[move], y[move]
+            pos[x, y], cur[x, y] = self._seek(t[x, y], target[x])
+        return np.concatenate(out_p), np.concatenate(out_i)
+
+
+def _search(shared, window: int):
+    """shared: a broadcast ItemIndex."""
 
     def one(keys: list, texts: list[str]) -> list[tuple]:
-        terms, starts, owner, doc, at_hash = [], [], [], [], []
-        total, vocab = 0, index.vocab
-        for d, t in enumerate(texts):
-            w = words_of(t)
-            if len(w) < run:
-                continue
-            ids = np.array([vocab.get(x, -1) for x in w], np.int64)
-            h = _run_hashes(ids, run)
-            known = np.convolve(ids < 0, np.ones(run, np.int64), "valid") == 0  # no unknown word in the run
-            for a in range(0, max(1, len(w) - run + 1), step):
-                own = np.unique(ids[a : a + window])
-                own = own[own >= 0]
-                if len(own) and known[a : a + step].any():
-                    terms.append(own)
-                    starts.append(total)
-                    owner.append(h[a : a + step][known[a : a + step]])
-                    total += len(own)
-                    doc.append(d)
-        if not terms:
+        index: ItemIndex = shared.value
+        run, get = index.run, index.vocab.get
+        flat, ends = [], []
+        for t in texts:
+            flat += [get(w, -1) for w in words_of(t)]
+            flat.append(-1)  # no run goes over the end of a text
+            ends.append(len(flat))
+        ids = np.array(flat + [-1] * run, np.int64)
+        # places where run known words begin; only these words can be part of a leak
+        known = np.r_[0, np.cumsum(ids >= 0)]
+        starts = np.flatnonzero(known[run:] - known[:-run] == run)
+        if not len(starts) or not len(index.keys):
+            return []
+        # passages: up to window - run + 1 consecutive such places, so each run lies whole in one passage
+        opens = np.r_[True, np.diff(starts) > 1]
+        first = np.maximum.accumulate(np.where(opens, np.arange(len(starts)), 0))
+        opens |= (np.arange(len(starts)) - first) % (window - run + 1) == 0
+        begin = np.flatnonzero(opens)
+        count = np.diff(np.r_[begin, len(starts)])
+        place = starts[begin][:, None] + np.arange(window)
+        inside = np.arange(window) < (count + run - 1)[:, None]
+        terms = np.sort(np.where(inside, ids[np.minimum(place, len(ids) - 1)], index.none), axis=1)
+        terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = index.none
+        p, i = index.candidates(terms)
+        if not len(p):
             return []
-        p, i = index.candidates(np.concatenate(terms), np.array(starts))
         # verification: the candidate's passage and item share a run of words
-        counts = np.array([len(x) for x in owner])
-        h = np.concatenate(owner)
-        lo, hi = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
-        shared = {(q, index.owners[j]) for q, a, b in zip(np.repeat(np.arange(len(owner)), counts)[hi > lo], lo[hi > lo], hi[hi > lo]) for j in range(a, b)}
-        return sorted({(keys[doc[a]], index.ids[b]) for a, b in zip(p.tolist(), i.tolist()) if (a, b) in shared})
+        n = count[p]
+        of = np.repeat(np.arange(len(p)), n)
+        at = starts[np.repeat(begin[p], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        marks = _mixed(_run_hashes(ids, run)[at], i[of])
+        found = index.marks[np.minimum(np.searchsorted(index.marks, marks), len(index.marks) - 1)] == marks
+        doc = np.searchsorted(ends, at[found], side="right")
+        return sorted({(keys[d], index.ids[j]) for d, j in zip(doc.tolist(), i[of[found]].tolist())})
 
     def run_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for i in range(0, len(frame), 1000):
-                part = frame.iloc[i : i + 1000]
+            for i in range(0, len(frame), 5000):
+                part = frame.iloc[i : i + 5000]
                 yield pd.DataFrame(one(part.doc.tolist(), part.text.tolist()), columns=["doc_id", "item_id"])
 
     return run_frames
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, run: int = 12, window: int = 64, items_at_once: int = 5000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, run: int = 12, window: int = 24, items_at_once: int = 50_000) -> DataFrame:
     """(doc_id, item_id) of documents (doc_id, text) that hold at least ``run`` consecutive words of the passage of an
     item (item_id, passage); each pair once.
 
-    Documents are cut into passages of ``window`` words overlapping by run - 1, so that every run lies whole in one.
-    Each passage asks the block-max index for all items scoring at least their threshold, and the runs shared with those
-    are then compared. The index goes to the executors in parts of at most ``items_at_once`` items, whatever the size of
-    the test set; documents are never shuffled. Null texts, passages and keys and passages of fewer than ``run`` words
-    leak nothing; an empty side gives no rows.
+    Of a document only stretches of at least ``run`` words that items know are looked at, cut into passages of up to
+    ``window`` words overlapping by run - 1, so that every run lies whole in one. Each passage asks the index for all
+    items scoring at least their threshold, and the runs shared with those are then compared. The index is made once and
+    broadcast (some 25 bytes a different word of an item and 8 a run); the corpus is read once and never shuffled. Test
+    sets of more than ``items_at_once`` items are searched in parts of that size, each reading the corpus again, so that
+    what is broadcast has a bound. Null texts, passages and keys and passages of fewer than ``run`` words leak nothing;
+    an empty side gives no rows.
     """
+    if window < run:
+        raise ValueError("a passage must hold a run")
     kind_d, kind_i = docs.dtypes[0][1], items.dtypes[0][1]
     d = docs.select(F.col(docs.columns[0]).alias("doc"), F.col("text")).filter("doc is not null and text is not null")
     t = items.select(F.col(items.columns[0]).alias("item"), F.col("passage")).filter("item is not null and passage is not null").distinct()
     parts = max(1, -(-t.count() // items_at_once))
     out = None
     for part in range(parts):
-        some = [(r.item, r.passage) for r in t.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()]
-        found = d.mapInPandas(_search(ItemIndex(some, run), window), f"doc_id {kind_d}, item_id {kind_i}")
+        some = [(r.item, r.passage) for r in t.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).toLocalIterator()]
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(some, run))
+        found = d.mapInPandas(_search(index, window), f"doc_id {kind_d}, item_id {kind_i}")
         out = found if out is None else out.unionByName(found)
     return out.distinct()

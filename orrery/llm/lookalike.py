@@ -144,7 +144,10 @@ def compatible_form(text: str) -> str:
 
 def skeleton(text: str) -> str:
     """The compatible form with every look-alike letter replaced by its Latin twin, accents composed."""
-    return text if text.isascii() else unicodedata.normalize("NFC", compatible_form(text).translate(FOREIGN_LIKE))
+    if text.isascii():
+        return text
+    plain = compatible_form(text)
+    return unicodedata.normalize("NFC", plain.translate(FOREIGN_LIKE) if _FOREIGN.search(plain) else plain)
 
 
 class Lattice:

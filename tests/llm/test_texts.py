@@ -3,11 +3,12 @@
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from orrery.llm.leaks import leaked_items, words_of
+from orrery.llm.leaks import SLACK, ItemIndex, leaked_items, words_of
 from orrery.llm.lookalike import MEMBERS, SKELETON, Lattice, consistent_texts, letter_pairs, lookalike_pairs, skeleton
 from orrery.llm.split import split_spans, split_texts
 
@@ -126,6 +127,26 @@ def test_leaks_equal_brute_force(spark, items, docs):
     assert {tuple(r) for r in leaked_items(dd, ii, run, window=9, items_at_once=3).collect()} == want
 
 
+def test_wand_finds_what_scoring_all_finds():
+    r = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(300)])
+    odds = 1 / np.arange(1, 301)
+    items = [(i, " ".join(r.choice(words, r.integers(8, 40), p=odds / odds.sum()))) for i in range(200)]
+    index = ItemIndex(items, run=6, block=8)
+    assert index.nbytes() < 40 * len(index.keys) + 8 * 40 * 200
+    dense = np.zeros((index.none + 1, index.n), np.float32)
+    dense[index.keys // index.n, index.keys % index.n] = index.weights
+    terms = np.full((150, 14), index.none)
+    for row in terms:
+        own = np.unique(r.integers(0, index.none, r.integers(1, 15)))
+        row[: len(own)] = own
+    p, i = index.candidates(terms)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(dense[terms].sum(1) >= SLACK))}
+    assert len(want) > 100 and sorted(zip(p.tolist(), i.tolist())) == sorted(want)
+    empty = ItemIndex([])
+    assert len(empty.candidates(np.full((3, 4), empty.none))[0]) == 0
+
+
 def test_leaks_awkward(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = spark.createDataFrame([(1, "x " * 5000 + "One, two thrеe­four".replace("­", " ") + " " + passage[19:].upper()), (2, None), (None, passage), (3, ""), (4, passage[:-20]), (1, passage)], "doc_id bigint, text string")

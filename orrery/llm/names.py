@@ -1,8 +1,8 @@
 """Variant spellings of names typed by people: which strings name the same organisation or person.
 
 A name is parsed into what it says (kind of organisation, own words, or surname and given names); the own words or the
-surname are its key. Keys within a small edit distance are found by a pigeonhole segment join, and linked keys form the
-groups within which kinds, given names and initials decide.
+surname are its key. Keys within a small edit distance are found by a pigeonhole segment join among organisations of one
+kind and persons of one initial. Organisations are linked by their keys, persons by surname and given name together.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.components import connected_components
+from orrery.session import cut
 
 # Words that say what kind an organisation is, with their usual short forms.
 KIND_WORDS = {
@@ -89,12 +91,34 @@ def _loosen(word: str) -> list[str]:
     return [word]
 
 
-def parse_name(name: str) -> tuple[str, list[str], str, str, str]:
-    """(domain, keys, given, middle, acronym).
+def _one_off(a: str, b: str) -> bool:
+    """Whether one inserted, missing, other or exchanged letter makes a into b."""
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    x, y = a[i:], b[i:]
+    return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and x[2:] == y[2:])
+
+
+@lru_cache(100_000)
+def _kind(word: str) -> str:
+    """The kind word meant: itself, or the one that a long word is one letter away from."""
+    if len(word) < 8 or word in KIND_OF:
+        return word
+    return next((k for k in _LONG_KINDS if k[0] == word[0] and abs(len(k) - len(word)) < 2 and _one_off(k, word)), word)
+
+
+def _unhyphenated(text: str) -> str:
+    """Kind words written with a hyphen ('bio-sciences') in one word."""
+    return re.sub(r"\b([a-z]+)-([a-z]+)\b", lambda m: m[1] + m[2] if m[1] + m[2] in KIND_OF and m[1] not in KIND_OF else m[0], text)
+
+
+def parse_name(name: str) -> tuple[str, list[str], str, str, str, str]:
+    """(domain, keys, given, middle, acronym, firm).
 
     domain: 'org:' and the sorted kind words; 'person'; or 'acronym' for a bare acronym. keys: the own words without
     blanks, in both orders if there are two, resp. the surname. given: the given name in full form, or one initial.
-    A string without letters or digits has the domain 'none' and no keys.
+    firm: for a word followed by two letters that may be initials or a legal form ('Bauer AG'), the key it has as a firm.
+    Names of unknown kind are firms if a legal form or at least four words say so, else persons. A string without letters
+    or digits has the domain 'none' and no keys.
     """
     text = re.sub(r"\[[^\]]*\]", " ", _plain(name))
     acronym = ""
@@ -103,30 +127,30 @@ def parse_name(name: str) -> tuple[str, list[str], str, str, str]:
             acronym = inner.strip().upper()
     text = re.sub(r"\([^)]*\)", " ", text).strip()
     if re.fullmatch(r"[A-Z]{3,6}", text):
-        return "acronym", [text], "", "", text
+        return "acronym", [text], "", "", text, ""
     text = re.sub(r"(?<=[a-z]{3})(?=[A-Z][a-z]{2})", " ", text)  # a blank lost between two capitalised words
     comma = re.match(r"\s*([^\s,]+)\s*,", re.sub(r"['`’]", "", text))
     # 'S. A.' and 'G.m.b.H.' at the end are legal forms, in front of a surname they are initials
     low = re.sub(r"\b(?:[a-z]\.\s?)+[a-z]\b\.?(?=\W*$)", lambda m: re.sub(r"[.\s]", "", m[0]), text.lower())
-    low = re.sub(r"['`’]", "", low).replace("bio-sci", "biosci")
-    words = [w for t in re.findall(r"[^\W_]+", low) for w in _loosen(t)]
+    low = _unhyphenated(re.sub(r"['`’]", "", low))
+    words = [_kind(w) for t in re.findall(r"[^\W_]+", low) for w in _loosen(t)]
     kinds = sorted({KIND_OF[w] for w in words if w in KIND_OF and (len(w) > 1 or re.search(rf"\b{w}\b\.?\s+(?:of|{_AFTER_LETTER})\b|\s{w}\.\s*$", low))})
     if kinds:
         own = [w for w in words if w not in KIND_OF and w not in _QUIET]
         joined = "".join(own)
         if not joined:
-            return "org:" + " ".join(kinds), [" ".join(kinds)], "", "", acronym
+            return "org:" + " ".join(kinds), [" ".join(kinds)], "", "", acronym, ""
         keys = [joined] + (["".join(own[::-1])] if len(own) == 2 and own[0] != own[1] else [])
-        return "org:" + " ".join(kinds), keys, "", "", acronym
+        return "org:" + " ".join(kinds), keys, "", "", acronym, ""
     words = [w for w in words if w not in SILENT_WORDS or len(w) == 1]
     if not words:
-        return "none", [], "", "", ""
-    legal = [w for w in words if w not in LEGAL_FORMS or len(w) == 2]
-    if len(legal) < len(words):  # a firm without a kind word
-        own = [w for w in legal if w not in LEGAL_FORMS] or words
-        return "org:", ["".join(own)] + (["".join(own[::-1])] if len(own) == 2 else []), "", "", acronym
-    surname, given, middle = _person(words, text, comma)
-    return "person", [surname], given, middle, ""
+        return "none", [], "", "", "", ""
+    short = len(words) == 2 and len(words[1]) == 2 and words[1] in LEGAL_FORMS
+    legal = [w for w in words if w not in LEGAL_FORMS] or words
+    if not short and (len(legal) < len(words) and (words[-1] in LEGAL_FORMS or any(len(w) > 2 for w in words if w in LEGAL_FORMS)) or (len(words) > 3 and not comma and min(map(len, words)) > 1)):
+        return "org:", ["".join(legal)] + (["".join(legal[::-1])] if len(legal) == 2 else []), "", "", acronym, ""
+    surname, given, middle = (words[0], *words[1]) if short else _person(words, text, comma)
+    return "person", [surname], given, middle, "", words[0] if short else ""
 
 
 def _person(words: list[str], text: str, comma: re.Match | None) -> tuple[str, str, str]:
@@ -153,7 +177,7 @@ _GIVEN = {*NICKNAMES, *FULL_GIVEN}
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out = pd.DataFrame([parse_name(n) for n in frame.name], columns=["domain", "keys", "given", "middle", "acronym"])
+        out = pd.DataFrame([parse_name(n) for n in frame.name], columns=["domain", "keys", "given", "middle", "acronym", "firm"])
         out.insert(0, "name", frame.name.to_numpy())
         yield out
 
@@ -199,30 +223,40 @@ def _probe_rows(edits: int):
     return run
 
 
-def similar_keys(keys: DataFrame, edits: int = 2) -> DataFrame:
-    """(domain, a, b): different keys of one domain within ``edits`` Levenshtein edits, each pair once.
+def similar_keys(keys: DataFrame, edits: int = 2, one_from: int = 6, all_from: int = 9) -> DataFrame:
+    """(domain, a, b): different keys of one domain that may be spellings of each other, each pair once.
+
+    How much two keys may differ grows with the shorter one's length, as short names are close to each other by chance:
+    from ``all_from`` characters on ``edits`` Levenshtein edits, from ``one_from`` on one, and at any length two
+    exchanged letters.
 
     Pigeonhole: cut into edits + 1 segments, a key shares at least one segment with each such partner, moved by no more
     than the edits. Segments of all keys form an inverted index; position-shifted substrings look them up; the banded
-    edit distance is checked inside the join, so candidates are never stored. Keys shorter than 2 * (edits + 1) are
-    compared with one edit less, keys of under 4 characters only exactly (they have no segment worth the name).
+    edit distance is checked inside the join, so candidates are never stored. Exchanged letters are found by the sorted
+    letters of the keys too short for it.
     """
     # both sides are spread again by the piece before the join; a piece common to many keys is split by AQE
     schema = "domain string, length int, part int, piece string, key string"
-    long_enough = keys.filter(F.length("key") >= 2 * (edits + 1)).select("domain", "key").distinct()
-    found = _joined(long_enough, edits, schema)
-    if edits > 1:
-        short = keys.filter((F.length("key") >= 4) & (F.length("key") < 2 * (edits + 1) + 1)).select("domain", "key").distinct()
-        found = found.unionByName(_joined(short, 1, schema)).distinct()
-    return found
+    once = keys.select("domain", "key").distinct()
+    found = _joined(once.filter(F.length("key") >= all_from), edits, schema)
+    found = found.unionByName(_joined(once.filter(F.length("key").between(one_from, all_from)), 1, schema))
+    letters = once.filter(F.length("key") < all_from).withColumn("letters", F.array_join(F.array_sort(F.split("key", "")), ""))
+    a, b = letters.withColumnRenamed("key", "a"), letters.withColumnRenamed("key", "b")
+    swapped = a.join(b, ["domain", "letters"]).filter((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 2) == 2)).select("domain", "a", "b")
+    return found.unionByName(swapped).distinct()
 
 
 def _joined(keys: DataFrame, edits: int, schema: str) -> DataFrame:
     index = keys.mapInPandas(_index_rows(edits), schema).withColumnRenamed("key", "b")
     probe = keys.mapInPandas(_probe_rows(edits), schema).withColumnRenamed("key", "a")
     near = F.levenshtein("a", "b", edits).between(1, edits)
-    once = (F.length("a") > F.length("b")) | (F.col("a") < F.col("b"))
-    return probe.join(index, ["domain", "length", "part", "piece"]).filter(once & near).select("domain", "a", "b").distinct()
+    first = (F.length("a") > F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))
+    pairs = probe.join(index, ["domain", "length", "part", "piece"]).filter(first & near)
+    return pairs.select("domain", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _tag(*parts) -> Column:
+    return F.concat_ws("\u0001", *parts)
 
 
 def name_entities(names: DataFrame, edits: int = 2) -> DataFrame:
@@ -230,45 +264,82 @@ def name_entities(names: DataFrame, edits: int = 2) -> DataFrame:
 
     Organisations of the same kind words with linked keys are one entity; legal forms, articles, places in brackets and
     the order of two own words do not matter. Persons need linked surnames and the same given name (nicknames in full
-    form); initials join the only person of the surname they fit, first one whose middle initial is known to agree.
-    A bare acronym joins the only organisation whose spellings carry it in brackets, else it stands alone. Null, blank
-    and unparsable strings are left out; repeats count once; an empty input gives an empty result.
+    form); a given name that occurs with one surname only may also be a misspelling, one edit away, of another one of
+    that surname. Initials join the only person of a linked surname they fit, first one whose middle initial is known to
+    agree. A bare acronym joins the only organisation whose spellings carry it in brackets, else it stands alone. A word
+    with two letters that may be initials or a legal form is a person if another spelling of that surname and initial
+    is, else a firm. Null, blank and unparsable strings are left out; repeats count once; an empty input gives an empty
+    result.
     """
     once = names.select("name").filter("name is not null and trim(name) <> ''").distinct()
-    parsed = once.mapInPandas(_parse, "name string, domain string, keys array<string>, given string, middle string, acronym string").filter("domain <> 'none'")
-    parsed = parsed.withColumn("first_key", F.col("keys")[0])
-    keyed = parsed.filter("domain <> 'acronym'")
-    keys = keyed.select("domain", F.explode("keys").alias("key")).distinct()
-    tag = lambda c: F.concat_ws("\u0001", F.col("domain"), F.col(c))
-    near = similar_keys(keys, edits).select(tag("a").alias("a"), tag("b").alias("b"))
-    orders = keyed.filter(F.size("keys") > 1).select(F.concat_ws("\u0001", "domain", F.col("keys")[0]).alias("a"), F.concat_ws("\u0001", "domain", F.col("keys")[1]).alias("b"))
-    groups = connected_components(near.unionByName(orders.distinct()))
-    at = parsed.withColumn("node", tag("first_key")).join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
-
-    orgs = at.filter("domain not in ('person', 'acronym')").select("name", F.col("grp").alias("entity"), "acronym")
+    parsed = cut(once.mapInPandas(_parse, "name string, domain string, keys array<string>, given string, middle string, acronym string, firm string").filter("domain <> 'none'"))
+    people = parsed.filter("domain = 'person'").select("name", _tag(F.lit("p"), F.substring("given", 1, 1)).alias("domain"), F.col("keys")[0].alias("key"), "given", "middle", "firm")
+    orgs = parsed.filter("startswith(domain, 'org:')").select("name", "domain", "keys", "acronym")
+    firms = people.filter("firm <> ''").select("name", F.lit("org:").alias("domain"), F.array("firm").alias("keys"), F.lit("").alias("acronym"))
+    keys = orgs.unionByName(firms).select("domain", F.explode("keys").alias("key")).unionByName(people.select("domain", "key"))
+    near = cut(similar_keys(keys, edits))
+
+    # links of organisations: near keys, and both orders of two words
+    org = F.startswith("domain", F.lit("org:"))
+    links = near.filter(org).select(_tag("domain", "a").alias("a"), _tag("domain", "b").alias("b"))
+    links = links.unionByName(orgs.filter("size(keys) > 1").select(_tag("domain", F.col("keys")[0]).alias("a"), _tag("domain", F.col("keys")[1]).alias("b")))
+    # links of persons: near surnames with the same given name, resp. the same initials
+    people = people.withColumn("tag", F.when(F.length("given") > 1, _tag(F.lit("g"), "given")).otherwise(_tag(F.lit("i"), "middle"))).withColumn("node", _tag("domain", "key", "tag"))
+    spelled = people.select("domain", "key", "tag", "node").distinct()
+    left = near.filter(~org).join(spelled.select("domain", F.col("key").alias("a"), "tag", F.col("node").alias("na")), ["domain", "a"])
+    links = links.unionByName(left.join(spelled.select("domain", F.col("key").alias("b"), "tag", F.col("node").alias("nb")), ["domain", "b", "tag"]).select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    links = links.unionByName(_misspelled_given(people))
+    groups = connected_components(links)
+    entity = lambda df: df.join(groups, "node", "left").withColumn("entity", F.coalesce("component", "node")).drop("component")
+
+    people = cut(entity(people))
+    full = people.filter("length(given) > 1")
+    short = people.filter("length(given) <= 1")
+    both = near.filter(~org).select("domain", F.col("a").alias("key"), F.col("b").alias("other")).unionByName(near.filter(~org).select("domain", F.col("b").alias("key"), F.col("a").alias("other")))
+    asked = short.select("domain", "key").distinct()
+    reach = asked.join(both, ["domain", "key"]).unionByName(asked.withColumn("other", F.col("key")))
+    # what persons the initials of a surname can stand for: counts and names only, never lists of persons
+    middles = full.groupBy("entity").agg(F.array_compact(F.collect_set(F.when(F.col("middle") != "", F.col("middle")))).alias("middles"))
+    fits = reach.join(full.select("domain", F.col("key").alias("other"), "entity").distinct(), ["domain", "other"]).select("domain", "key", "entity").distinct().join(middles, "entity")
+    n, least = F.count(F.lit(1)), F.min("entity")
+    any_, bare = fits.groupBy("domain", "key").agg(n.alias("na"), least.alias("pa")), fits.filter("size(middles) = 0").groupBy("domain", "key").agg(n.alias("nb"), least.alias("pb"))
+    known = fits.select("domain", "key", "entity", F.explode("middles").alias("middle")).groupBy("domain", "key", "middle").agg(n.alias("nm"), least.alias("pm"))
+    joined = short.join(any_, ["domain", "key"], "left").join(bare, ["domain", "key"], "left").join(known, ["domain", "key", "middle"], "left")
+    none = F.col("middle") == ""
+    person = F.when(F.col("nm") == 1, F.col("pm")).when(F.col("nm").isNotNull(), F.lit(None)).when(none & (F.col("na") == 1), F.col("pa")).when(~none & (F.col("nb") == 1), F.col("pb"))
+    # 'Bauer AG' is a person only beside one of that surname and initial
+    sure = reach.join(people.filter("firm = ''").select("domain", F.col("key").alias("other")).distinct(), ["domain", "other"]).select("domain", "key").distinct().withColumn("sure", F.lit(True))
+    initials = joined.join(sure, ["domain", "key"], "left").withColumn("entity", F.coalesce(person, "entity"))
+    as_person = (F.col("firm") == "") | F.col("sure").isNotNull()
+    firms = initials.filter(~as_person).select("name", _tag(F.lit("org:"), "firm").alias("node"), F.lit("").alias("acronym"))
+
+    orgs = entity(orgs.select("name", _tag("domain", F.col("keys")[0]).alias("node"), "acronym").unionByName(firms))
     owners = orgs.filter("acronym <> ''").groupBy("acronym").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))
-    acronyms = (
-        at.filter("domain = 'acronym'").select("name", "acronym", "grp").join(owners, "acronym", "left")
-        .select("name", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("grp")).alias("entity"))
-    )
-    people = at.filter("domain = 'person'").select("name", "grp", "given", "middle", F.length("given").alias("size"))
-    full = people.filter("size > 1").withColumn("entity", F.concat_ws("\u0001", "grp", "given"))
-    persons = full.groupBy("grp", "given", "entity").agg(F.collect_set(F.when(F.col("middle") != "", F.col("middle"))).alias("middles"))
-    short = people.filter("size <= 1")
-    fits = (
-        short.join(persons.select("grp", F.substring("given", 1, 1).alias("i"), "entity", "middles"), (short.grp == persons.grp) & (F.col("i") == short.given), "left")
-        .select(short["name"], short["grp"], short["given"], short["middle"], F.col("entity").alias("person"),
-                F.when(F.array_contains("middles", F.col("middle")), 2).when((F.size("middles") <= 0) | (F.col("middle") == ""), 1).otherwise(0).alias("fit"))
-    )
-    best = fits.groupBy("name", "grp", "given", "middle").agg(
-        F.count_if(F.col("fit") == 2).alias("n2"), F.count_if(F.col("fit") == 1).alias("n1"), F.max(F.when(F.col("fit") == 2, F.col("person"))).alias("p2"), F.max(F.when(F.col("fit") == 1, F.col("person"))).alias("p1")
-    )
-    alone = F.concat_ws("\u0001", "grp", "given", "middle")
-    initials = best.select("name", F.when(F.col("n2") == 1, F.col("p2")).when((F.col("n2") == 0) & (F.col("n1") == 1), F.col("p1")).otherwise(alone).alias("entity"))
-    return orgs.select("name", "entity").unionByName(acronyms).unionByName(full.select("name", "entity")).unionByName(initials)
-
-
-def same_entity_pairs(entities: DataFrame) -> DataFrame:
-    """(name_a, name_b) with name_a < name_b by code point: all pairs of each entity."""
-    a, b = entities.select("entity", F.col("name").alias("name_a")), entities.select("entity", F.col("name").alias("name_b"))
-    return a.join(b, "entity").filter("name_a < name_b").select("name_a", "name_b")
+    acronyms = parsed.filter("domain = 'acronym'").select("name", "acronym").join(owners, "acronym", "left")
+    acronyms = acronyms.select("name", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(_tag(F.lit("acronym"), "acronym")).alias("entity"))
+    return reduce(DataFrame.unionByName, [x.select("name", "entity") for x in (orgs, acronyms, full, initials.filter(as_person))])
+
+
+def _misspelled_given(people: DataFrame) -> DataFrame:
+    """Links of persons of one surname whose given names are one edit apart, at least one of them occurring with no other
+    surname, and neither a known given name of another kind."""
+    full = people.filter("length(given) > 5").select("domain", "key", "given", "node").distinct()
+    own = full.groupBy("given").agg((F.min("key") == F.max("key")).alias("rare"))
+    named = full.join(own, "given").select(_tag("domain", "key").alias("domain"), F.col("given"), "node", F.col("rare") & ~F.col("given").isin(sorted(_GIVEN)))
+    named = named.toDF("domain", "given", "node", "rare")
+    some = named.join(named.filter("rare").select("domain").distinct(), "domain", "left_semi")
+    near = similar_keys(some.select("domain", F.col("given").alias("key")), 1)
+    pairs = near.join(some.select("domain", F.col("given").alias("a"), F.col("node").alias("na"), F.col("rare").alias("ra")), ["domain", "a"])
+    pairs = pairs.join(some.select("domain", F.col("given").alias("b"), F.col("node").alias("nb"), F.col("rare").alias("rb")), ["domain", "b"])
+    return pairs.filter("ra or rb").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+
+def same_entity_pairs(entities: DataFrame, piece: int = 256) -> DataFrame:
+    """(name_a, name_b) with name_a < name_b by code point: all pairs of each entity. An entity of many names is cut into
+    pieces of about ``piece`` names; every pair of pieces is its own join key, so that no task gets a whole hot entity."""
+    sizes = entities.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("n"))
+    rows = entities.join(sizes, "entity").withColumn("at", F.pmod(F.xxhash64("name"), F.col("n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    a = rows.select("entity", F.col("at").alias("pa"), F.col("name").alias("name_a"), every.alias("pb"))
+    b = rows.select("entity", F.col("at").alias("pb"), F.col("name").alias("name_b"), every.alias("pa"))
+    return a.join(b, ["entity", "pa", "pb"]).filter("name_a < name_b").select("name_a", "name_b")

@@ -36,11 +36,12 @@ def _mapped(df: DataFrame, names: Sequence[str], kind: str, convert) -> DataFram
     return df.mapInArrow(run, ", ".join(f"`{n}` {kind if n in names else k}" for n, k in df.dtypes))
 
 
-def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Column, distinct: bool = False, bits: int = 12, salts: int = 16) -> DataFrame:
+def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Column, distinct: bool = False, least: int = 1, bits: int = 12, salts: int = 16) -> DataFrame:
     """(keys, n, rank, value): for every key the values at the wanted ranks, from 1 in ascending order, of a BIGINT.
 
     ``ranks`` is an ARRAY<BIGINT> made from the column ``n``, the key's number of values; ranks beyond it give no row.
-    With ``distinct`` equal values of a key count once. Null keys and values are left out; no rows give an empty result.
+    With ``distinct`` equal values of a key count once. If all ranks are ``least`` or more, keys of fewer rows are dropped
+    by a first round of one cell a key. Null keys and values are left out; no rows give an empty result.
 
     Equal values are counted first, combined before the shuffle and spread by key and value, so that neither a hot key
     nor a hot value is met by one task. Then each key's value range is cut into cells, of which only counts, least and
@@ -51,6 +52,8 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Column,
     keys = list(keys)
     k = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(x).alias(y) for x, y in zip(keys, k)], F.col(value).cast("bigint").alias("_v")).dropna()
+    if least > 1:
+        rows = rows.join(rows.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(*k), k, "left_semi")
     counted = rows.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c"))
     if distinct:
         counted = counted.withColumn("_c", F.lit(1).cast("bigint"))

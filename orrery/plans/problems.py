@@ -21,8 +21,8 @@ def p4_found(spark: SparkSession, sf_dir: str, percent: int = 5) -> DataFrame:
     t = table(spark, sf_dir, "validate_patent_text_support")
     named = _named_keys(t, "pat_nums").unionByName(_named_keys(t, "pred_accs"))
     total = t.select("cid").distinct().agg(F.count("cid")).first()[0]
-    least = F.lit(max(1, -(-percent * total // 100))).cast("bigint")
-    found = select_ranks(named, ["field_name", "key_value"], "cid", F.array(least), distinct=True)
+    rank = max(1, -(-percent * total // 100))
+    found = select_ranks(named, ["field_name", "key_value"], "cid", F.array(F.lit(rank).cast("bigint")), distinct=True, least=rank)
     return found.select("field_name", "key_value")
 
 

@@ -95,6 +95,7 @@ def test_ranks_of_different_values(spark):
     ranks = F.array(F.lit(2), F.lit(4)).cast("array<bigint>")
     assert {tuple(r) for r in select_ranks(df, ["k"], "v", ranks, distinct=True).collect()} == {("a", 4, 2, 0), ("a", 4, 4, 2**62)}
     assert {tuple(r) for r in select_ranks(df, ["k"], "v", ranks).collect()} == {("a", 6, 2, 0), ("a", 6, 4, 5), ("b", 9, 2, 1), ("b", 9, 4, 1)}
+    assert {tuple(r) for r in select_ranks(df, ["k"], "v", F.array(F.lit(7).cast("bigint")), least=7).collect()} == {("b", 9, 7, 1)}
 
 
 def test_hot_keys_empty(spark):

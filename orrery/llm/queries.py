@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.leaks import leaked_items
 from orrery.llm.lookalike import COMPATIBLE, FOREIGN_LIKE, consistent_texts, lookalike_pairs
-from orrery.llm.mixing import mix_sources
+from orrery.llm.mixing import mix_sized, mix_sources
 from orrery.llm.names import name_entities, same_entity_pairs
 from orrery.llm.split import split_texts
 from orrery.llm.vectors import nearest_fingerprints
@@ -77,6 +77,26 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))[1]
 
 
+def p8_budget(spark: SparkSession, sf_dir: str, budget: int = 500_000) -> DataFrame:
+    """The mixture cut at a total budget of tokens."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"), budget)[0]
+
+
+def _sized(spark: SparkSession, sf_dir: str, budget: int | None) -> tuple[DataFrame, DataFrame]:
+    sized = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", F.col("n_chars").alias("n_tokens"))
+    return mix_sized(sized, table(spark, sf_dir, "source_mix"), budget)
+
+
+def p8_characters(spark: SparkSession, sf_dir: str, budget: int = 200_000) -> DataFrame:
+    """The same queue over sizes that a table holds: characters instead of tokens, cut at a budget."""
+    return _sized(spark, sf_dir, budget)[0].select("doc_id", F.col("copy_no").cast("bigint").alias("copy_no"), "source", F.round("finish", 3).alias("finish"))
+
+
+def p8_character_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _sized(spark, sf_dir, None)[1]
+    return out.select("source", "tokens", "docs", F.col("most_copies").cast("bigint").alias("most_copies"), F.round("actual_share", 9).alias("actual_share"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents"))
 
@@ -87,7 +107,8 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p7_found": p7_found,
-    "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_texts": p9_texts,
+    "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_budget": p8_budget, "p8_characters": p8_characters, "p8_character_shares": p8_character_shares,
+    "p9_found": p9_found, "p9_texts": p9_texts,
 }
 
 
@@ -119,7 +140,20 @@ def _runs_sql(table_name: str, key: str, text: str) -> str:
       from (select {key}, {words} as w from {table_name} where {text} is not null) where len(w) >= 12))"""
 
 
+_QUEUE = """
+    with l as (select lower(trim(source)) as source, target_share, max_repeats from source_mix where target_share > 0 and max_repeats > 0),
+    d as (select doc_id, lower(trim(source)) as source, n_chars as n, ('0x' || substr(md5('7:' || doc_id::varchar), 1, 15))::bigint as h from documents where text is not null and n_chars > 0),
+    o as (select doc_id, source, n, target_share, max_repeats, sum(n) over (partition by source order by h, doc_id) as upto, sum(n) over (partition by source) as once from d join l using (source)),
+    c as (select *, (upto + (copy_no - 1) * once)::double / target_share as finish from (select *, unnest(range(1, max_repeats + 1)) as copy_no from o))"""
+
 SQL: dict[str, str] = {
+    "p8_characters": f"""{_QUEUE}
+    select doc_id, copy_no, source, round(finish, 3) as finish from (select *, sum(n) over (order by finish, source, doc_id, copy_no) as filled from c) where filled <= 200000""",
+    "p8_character_shares": f"""{_QUEUE},
+    m as (select * from c where finish <= (select min(once * max_repeats / target_share) from o) * (1 + 1e-12::double)),
+    u as (select source, sum(n)::bigint as tokens, count(distinct doc_id) as docs, max(copy_no) as most_copies from m group by source)
+    select s.source, coalesce(tokens, 0) as tokens, coalesce(docs, 0) as docs, coalesce(most_copies, 0) as most_copies, round(coalesce(tokens::double / (select sum(tokens) from u), 0), 9) as actual_share
+    from (select lower(trim(source)) as source from source_mix) s left join u using (source)""",
     "p7_found": f"select distinct doc_id, item_id from {_runs_sql('documents', 'doc_id', 'text')} join {_runs_sql('eval_items', 'item_id', 'passage')} using (run)",
     "p9_found": f"""
     with f as (select doc_id, text, {_form_sql('text')} as form from documents where text is not null)

@@ -276,62 +276,56 @@ def name_entities(names: DataFrame, edits: int = 2) -> DataFrame:
     people = parsed.filter("domain = 'person'").select("name", _tag(F.lit("p"), F.substring("given", 1, 1)).alias("domain"), F.col("keys")[0].alias("key"), "given", "middle", "firm")
     orgs = parsed.filter("startswith(domain, 'org:')").select("name", "domain", "keys", "acronym")
     firms = people.filter("firm <> ''").select("name", F.lit("org:").alias("domain"), F.array("firm").alias("keys"), F.lit("").alias("acronym"))
-    keys = orgs.unionByName(firms).select("domain", F.explode("keys").alias("key")).unionByName(people.select("domain", "key"))
+    # one search for all: own words by kind, surnames by initial, given names by surname
+    givens = people.filter("length(given) > 5").select(_tag(F.lit("g"), "key").alias("domain"), F.col("given").alias("key"))
+    keys = orgs.unionByName(firms).select("domain", F.explode("keys").alias("key")).unionByName(people.select("domain", "key")).unionByName(givens)
     near = cut(similar_keys(keys, edits))
 
     # links of organisations: near keys, and both orders of two words
-    org = F.startswith("domain", F.lit("org:"))
-    links = near.filter(org).select(_tag("domain", "a").alias("a"), _tag("domain", "b").alias("b"))
+    of = lambda kind: F.startswith("domain", F.lit(kind))
+    links = near.filter(of("org:")).select(_tag("domain", "a").alias("a"), _tag("domain", "b").alias("b"))
     links = links.unionByName(orgs.filter("size(keys) > 1").select(_tag("domain", F.col("keys")[0]).alias("a"), _tag("domain", F.col("keys")[1]).alias("b")))
     # links of persons: near surnames with the same given name, resp. the same initials
     people = people.withColumn("tag", F.when(F.length("given") > 1, _tag(F.lit("g"), "given")).otherwise(_tag(F.lit("i"), "middle"))).withColumn("node", _tag("domain", "key", "tag"))
     spelled = people.select("domain", "key", "tag", "node").distinct()
-    left = near.filter(~org).join(spelled.select("domain", F.col("key").alias("a"), "tag", F.col("node").alias("na")), ["domain", "a"])
+    left = near.filter(of("p")).join(spelled.select("domain", F.col("key").alias("a"), "tag", F.col("node").alias("na")), ["domain", "a"])
     links = links.unionByName(left.join(spelled.select("domain", F.col("key").alias("b"), "tag", F.col("node").alias("nb")), ["domain", "b", "tag"]).select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    links = links.unionByName(_misspelled_given(people))
-    groups = connected_components(links)
+    # and given names of one surname, one edit apart, of which one occurs with no other surname and is no known name
+    one_edit = (F.levenshtein("a", "b", 1) >= 0) | (F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", "")))
+    common = people.filter("length(given) > 5").groupBy("given").agg((F.min("key") == F.max("key")).alias("rare")).filter(F.col("rare") & ~F.col("given").isin(sorted(_GIVEN)))
+    slips = near.filter(of("g") & one_edit & (F.substring("a", 1, 1) == F.substring("b", 1, 1)))
+    either = slips.select("domain", "a", "b", F.explode(F.array("a", "b")).alias("given")).join(common, "given").select("domain", "a", "b").distinct()
+    whole = lambda given: _tag(F.lit("p"), F.substring(given, 1, 1), F.substring_index("domain", "\u0001", -1), F.lit("g"), given)
+    groups = connected_components(links.unionByName(either.select(whole("a").alias("a"), whole("b").alias("b"))))
     entity = lambda df: df.join(groups, "node", "left").withColumn("entity", F.coalesce("component", "node")).drop("component")
 
     people = cut(entity(people))
-    full = people.filter("length(given) > 1")
-    short = people.filter("length(given) <= 1")
-    both = near.filter(~org).select("domain", F.col("a").alias("key"), F.col("b").alias("other")).unionByName(near.filter(~org).select("domain", F.col("b").alias("key"), F.col("a").alias("other")))
-    asked = short.select("domain", "key").distinct()
-    reach = asked.join(both, ["domain", "key"]).unionByName(asked.withColumn("other", F.col("key")))
+    full, short = people.filter("length(given) > 1"), people.filter("length(given) <= 1")
     # what persons the initials of a surname can stand for: counts and names only, never lists of persons
+    both = near.filter(of("p"))
+    asked = short.select("domain", "key", "middle").distinct()
+    reach = asked.join(both.select("domain", F.col("a").alias("key"), F.col("b").alias("other")).unionByName(both.select("domain", F.col("b").alias("key"), F.col("a").alias("other"))), ["domain", "key"])
+    reach = reach.select("domain", "key", "middle", "other").unionByName(asked.withColumn("other", F.col("key")))
     middles = full.groupBy("entity").agg(F.array_compact(F.collect_set(F.when(F.col("middle") != "", F.col("middle")))).alias("middles"))
-    fits = reach.join(full.select("domain", F.col("key").alias("other"), "entity").distinct(), ["domain", "other"]).select("domain", "key", "entity").distinct().join(middles, "entity")
-    n, least = F.count(F.lit(1)), F.min("entity")
-    any_, bare = fits.groupBy("domain", "key").agg(n.alias("na"), least.alias("pa")), fits.filter("size(middles) = 0").groupBy("domain", "key").agg(n.alias("nb"), least.alias("pb"))
-    known = fits.select("domain", "key", "entity", F.explode("middles").alias("middle")).groupBy("domain", "key", "middle").agg(n.alias("nm"), least.alias("pm"))
-    joined = short.join(any_, ["domain", "key"], "left").join(bare, ["domain", "key"], "left").join(known, ["domain", "key", "middle"], "left")
+    persons = full.select("domain", F.col("key").alias("other"), "entity").distinct().join(middles, "entity", "left")
+    # a name that is surely a person's stands beside 'Bauer AG', which else is a firm
+    sure = short.filter("firm = ''").select("domain", F.col("key").alias("other")).distinct().withColumns({"entity": F.lit(None).cast("string"), "middles": F.lit(None).cast("array<string>")})
+    fits = reach.join(persons.unionByName(sure), ["domain", "other"]).select("domain", "key", "middle", "entity", "middles").distinct()
+    known, bare = F.array_contains("middles", F.col("middle")), F.size("middles") == 0
+    counted = fits.groupBy("domain", "key", "middle").agg(
+        F.count("entity").alias("na"), F.min("entity").alias("pa"), F.count_if(bare).alias("nb"), F.min(F.when(bare, F.col("entity"))).alias("pb"), F.count_if(known).alias("nm"), F.min(F.when(known, F.col("entity"))).alias("pm")
+    )
+    joined = short.join(counted, ["domain", "key", "middle"], "left")
     none = F.col("middle") == ""
-    person = F.when(F.col("nm") == 1, F.col("pm")).when(F.col("nm").isNotNull(), F.lit(None)).when(none & (F.col("na") == 1), F.col("pa")).when(~none & (F.col("nb") == 1), F.col("pb"))
-    # 'Bauer AG' is a person only beside one of that surname and initial
-    sure = reach.join(people.filter("firm = ''").select("domain", F.col("key").alias("other")).distinct(), ["domain", "other"]).select("domain", "key").distinct().withColumn("sure", F.lit(True))
-    initials = joined.join(sure, ["domain", "key"], "left").withColumn("entity", F.coalesce(person, "entity"))
-    as_person = (F.col("firm") == "") | F.col("sure").isNotNull()
-    firms = initials.filter(~as_person).select("name", _tag(F.lit("org:"), "firm").alias("node"), F.lit("").alias("acronym"))
-
-    orgs = entity(orgs.select("name", _tag("domain", F.col("keys")[0]).alias("node"), "acronym").unionByName(firms))
+    person = F.when(F.col("nm") == 1, F.col("pm")).when(F.col("nm") > 1, F.lit(None)).when(none & (F.col("na") == 1), F.col("pa")).when(~none & (F.col("nb") == 1), F.col("pb"))
+    initials = joined.withColumn("as_person", (F.col("firm") == "") | F.col("na").isNotNull()).withColumn("entity", F.coalesce(person, "entity"))
+    firms = initials.filter("not as_person").select("name", _tag(F.lit("org:"), "firm").alias("node"), F.lit("").alias("acronym"))
+
+    orgs = cut(entity(orgs.select("name", _tag("domain", F.col("keys")[0]).alias("node"), "acronym").unionByName(firms)))
     owners = orgs.filter("acronym <> ''").groupBy("acronym").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))
     acronyms = parsed.filter("domain = 'acronym'").select("name", "acronym").join(owners, "acronym", "left")
     acronyms = acronyms.select("name", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(_tag(F.lit("acronym"), "acronym")).alias("entity"))
-    return reduce(DataFrame.unionByName, [x.select("name", "entity") for x in (orgs, acronyms, full, initials.filter(as_person))])
-
-
-def _misspelled_given(people: DataFrame) -> DataFrame:
-    """Links of persons of one surname whose given names are one edit apart, at least one of them occurring with no other
-    surname, and neither a known given name of another kind."""
-    full = people.filter("length(given) > 5").select("domain", "key", "given", "node").distinct()
-    own = full.groupBy("given").agg((F.min("key") == F.max("key")).alias("rare"))
-    named = full.join(own, "given").select(_tag("domain", "key").alias("domain"), F.col("given"), "node", F.col("rare") & ~F.col("given").isin(sorted(_GIVEN)))
-    named = named.toDF("domain", "given", "node", "rare")
-    some = named.join(named.filter("rare").select("domain").distinct(), "domain", "left_semi")
-    near = similar_keys(some.select("domain", F.col("given").alias("key")), 1)
-    pairs = near.join(some.select("domain", F.col("given").alias("a"), F.col("node").alias("na"), F.col("rare").alias("ra")), ["domain", "a"])
-    pairs = pairs.join(some.select("domain", F.col("given").alias("b"), F.col("node").alias("nb"), F.col("rare").alias("rb")), ["domain", "b"])
-    return pairs.filter("ra or rb").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    return reduce(DataFrame.unionByName, [x.select("name", "entity") for x in (orgs, acronyms, full, initials.filter("as_person"))])
 
 
 def same_entity_pairs(entities: DataFrame, piece: int = 256) -> DataFrame:

@@ -47,6 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, in which anything written is seen by all executors."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared checkpoint folder, with its lineage cut; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,111 @@ def labelled_csv(spark: SparkSession, path: str, text: str, label: str) -> tuple
     t = raw.select(F.col(text).alias("text"), F.expr(f"try_cast(`{label}` as double)").alias("label"))
     good = t.filter("text is not null and trim(text) <> '' and label is not null")
     return good, t.agg(F.count(F.lit(1)).alias("n_read"), F.count_if(F.col("text").isNull() | (F.trim("text") == "") | F.col("label").isNull()).alias("n_bad"))
+
+
+PATENT_SCHEMA = "patent_number string, title string, abstract string, claims array<string>, description string, country string, publication_date date"
+
+
+def _text(node) -> str:
+    """The text of a node and all its descendants, white space squeezed."""
+    return " ".join("".join(node.itertext()).split()) if node is not None else ""
+
+
+def _patent_row(xml: bytes) -> tuple | None:
+    """The fields of one patent document; None for anything that is not one, has no number or neither title nor text."""
+    import datetime
+    import xml.etree.ElementTree as ET
+
+    try:
+        root = ET.fromstring(xml)
+    except ET.ParseError:
+        return None
+    ident = root.find(".//publication-reference/document-id")
+    if ident is None or not (number := _text(ident.find("doc-number")).lstrip("0")):
+        return None
+    country, kind, day = (_text(ident.find(t)) for t in ("country", "kind", "date"))
+    title, abstract, description = (_text(root.find(t)) for t in (".//invention-title", ".//abstract", ".//description"))
+    if not (title or abstract):
+        return None
+    try:
+        date = datetime.datetime.strptime(day, "%Y%m%d").date()
+    except ValueError:
+        date = None
+    claims = [t for c in root.iterfind(".//claim") if (t := _text(c))]
+    return "-".join(x for x in (country, number, kind) if x), title or None, abstract or None, claims, description or None, country or None, date
+
+
+def patent_zips(files: DataFrame) -> DataFrame:
+    """Patents (PATENT_SCHEMA) in archives (path, content BINARY) of files in which XML documents stand one after
+    another. Documents that cannot be parsed, and archives that are none, give no rows. One document is held at a time,
+    besides the file it stands in. ``spark.read.format("binaryFile")`` gives such archives."""
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for content in batch.column("content"):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content.as_py() or b""))
+                except zipfile.BadZipFile:
+                    continue
+                for name in archive.namelist():
+                    if name.lower().endswith(".xml"):
+                        docs = re.split(rb"(?=<\?xml )", archive.read(name))
+                        rows += [r for d in docs if d.strip() and (r := _patent_row(d.strip()))]
+            fields = list(zip(*rows)) if rows else [[] for _ in range(7)]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.date32()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(f), k) for f, k in zip(fields, kinds)], [c.split()[0] for c in PATENT_SCHEMA.split(", ")])
+
+    return files.select("content").mapInArrow(run, PATENT_SCHEMA)
+
+
+def nested_patents(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
+    """(patent_number, title, abstract, country, publication_date) of patents nested in JSON files anywhere under
+    ``path``: {"patent": {"id": {"country", "number", "kind"}, "text": {"title", "abstract"}, "published": "YYYYMMDD"}}.
+    Only numbers in ``ids`` (id), if given; rows without title and abstract are left out, later copies of a number too.
+    """
+    inner = "id struct<country: string, number: string, kind: string>, text struct<title: string, abstract: string>, published string"
+    t = spark.read.option("recursiveFileLookup", "true").schema(f"patent struct<{inner}>").json(path).select("patent.*", F.input_file_name().alias("file"))
+    number = F.concat_ws("-", "id.country", "id.number", "id.kind")
+    rows = t.select(number.alias("patent_number"), "text.title", "text.abstract", "id.country", F.try_to_timestamp("published", F.lit("yyyyMMdd")).cast("date").alias("publication_date"), "file")
+    rows = rows.filter("patent_number <> '' and (title is not null or abstract is not null)")
+    if ids is not None:
+        rows = rows.join(ids.select(F.col("id").alias("patent_number")).distinct(), "patent_number", "left_semi")
+    first = F.min_by(F.struct("title", "abstract", "country", "publication_date"), F.struct("file", F.xxhash64("title", "abstract")))
+    return rows.groupBy("patent_number").agg(first.alias("x")).select("patent_number", "x.*")
+
+
+def vectors_with_sidecar(vectors: DataFrame, sidecar: DataFrame, position: str = "position") -> DataFrame:
+    """Vectors and the rows that describe them, joined by position; rows that stand alone on either side are left out."""
+    return vectors.join(sidecar, position)
+
+
+def npz_matrix(files: DataFrame, name: str = "vectors", keys: str = "ids") -> DataFrame:
+    """(key STRING, vector ARRAY<FLOAT>) of archives (path, content BINARY) of NumPy arrays: a matrix and its row names."""
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column("content"):
+                with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as z:
+                    m, k = z[name].astype(np.float32), z[keys].astype(str)
+                for i in range(0, len(m), 4096):
+                    part = m[i : i + 4096]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * m.shape[1]), pa.array(part.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 4096].tolist(), pa.string()), lists], ["key", "vector"])
+
+    return files.select("content").mapInArrow(run, "key string, vector array<float>")
+
+
+def merged_settings(base: dict, over: dict) -> dict:
+    """``base`` with the values of ``over``: mappings are merged at every depth, everything else is replaced."""
+    return base | {k: merged_settings(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}

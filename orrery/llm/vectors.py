@@ -107,6 +107,14 @@ def estimate(queries: np.ndarray, codes: np.ndarray, norm: np.ndarray, own: np.n
     return cosine, (sigmas * np.sqrt(variance)).astype(np.float32)
 
 
+def _tanimoto(q: np.ndarray, r: np.ndarray, na: np.ndarray, nb: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact similarities of the pairs (x, y), so few at a time that they stay in the processor's cache."""
+    shared = np.empty(len(x), np.int32)
+    for i in range(0, len(x), 2048):
+        shared[i : i + 2048] = np.bitwise_count(q[x[i : i + 2048]] & r[y[i : i + 2048]]).sum(1, dtype=np.int32)
+    return shared / (na[x] + nb[y] - shared)
+
+
 def _best_in_cell(k: int, floor: float, width: int, sigmas: float, rotation: Rotation, code_dims: int):
     def run(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"id": pa.array([], left.schema.field("key").type), "cid": pa.array([], right.schema.field("key").type), "sim": pa.array([], pa.float64())})
@@ -122,17 +130,17 @@ def _best_in_cell(k: int, floor: float, width: int, sigmas: float, rotation: Rot
         for i in range(0, len(q), STEP // 4):
             w, a = q[i : i + STEP // 4], na[i : i + STEP // 4, None]
             cosine, bound = estimate(rotation(_unit(w), code_dims), codes, norm, own, rotation.dim, sigmas)
-            size, root = (a + nb).astype(np.float32), np.sqrt(a.astype(np.float32) * nb)
-            high = np.minimum((cosine + bound) * root, np.minimum(a, nb))
-            high /= size - high
             least = np.full(len(w), floor, np.float32)
-            if len(r) > among:
-                low = np.maximum((cosine - bound) * root, 0)
-                low /= np.maximum(size - low, 1)
-                least = np.maximum(least, np.partition(low, len(r) - among, axis=1)[:, len(r) - among])
-            x, y = np.nonzero(high >= least[:, None] - np.float32(1e-5))
-            shared = np.bitwise_count(w[x] & r[y]).sum(1, dtype=np.int32)
-            exact = shared / (a[x, 0] + nb[y] - shared)
+            if len(r) > among:  # what the best ones by estimate have exactly is a threshold that k others must reach
+                guess = cosine * np.sqrt(nb, dtype=np.float32)
+                guess /= (a + nb).astype(np.float32)
+                best = np.argpartition(guess, len(r) - among, axis=1)[:, len(r) - among :]
+                least = np.maximum(least, _tanimoto(w, r, na[i : i + STEP // 4], nb, np.repeat(np.arange(len(w)), among), best.reshape(-1)).reshape(-1, among).min(1))
+            # a similarity of t means a cosine of t / (1 + t) * (a + b) / sqrt(a b)
+            need = (least / (1 + least) / np.sqrt(a[:, 0], dtype=np.float32)).astype(np.float32)[:, None] * (a + nb).astype(np.float32)
+            need /= np.sqrt(nb, dtype=np.float32)
+            x, y = np.nonzero(cosine >= need - (bound + np.float32(1e-5)))
+            exact = _tanimoto(w, r, na[i : i + STEP // 4], nb, x, y)
             keep = exact >= floor
             ids.append(x[keep] + i)
             cids.append(y[keep])

@@ -28,7 +28,11 @@ def _cosine(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return unit(q) @ unit(r).T
 
 
-MEASURES = {"tanimoto": (_tanimoto, np.uint64), "cosine": (_cosine, np.float64)}
+def _dot(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return q @ r.T
+
+
+MEASURES = {"tanimoto": (_tanimoto, np.uint64), "cosine": (_cosine, np.float64), "dot": (_dot, np.float64)}
 
 
 def _in_blocks(queries: DataFrame, rows: DataFrame, work, schema: str, measure: str, digits: int, block: int) -> DataFrame:
@@ -206,26 +210,63 @@ def best_ranks(queries: DataFrame, rows: DataFrame, measure: str = "tanimoto", d
         at = pa.array(_joined(out_c))
         return pa.table({"qid": left.column("id").take(pa.array(_joined(out_x))), "label": right.column(name).take(at), "sim": pa.array(_joined(out_s, float)), "rid": right.column("id").take(at)})
 
+    tops = _in_blocks(queries, rows, first, f"qid {_kind(queries)}, label {kind}, sim double, rid {ids}", measure, digits, block)
+    tops = tops.groupBy("qid", "label").agg(F.min(F.struct((-F.col("sim")).alias("o"), "rid", "sim")).alias("b"))
+    return _counted_before(queries, rows, tops.select("qid", "label", "b.sim", "b.rid"), measure, digits, block)
+
+
+def ranks_of(queries: DataFrame, rows: DataFrame, wanted: DataFrame, measure: str = "tanimoto", digits: int = 12, less: str | None = None, block: int = 4096) -> DataFrame:
+    """(qid, label, rank): the place of each wanted row (query id, row id) among all rows, by falling similarity, then id;
+    ``less`` names a column of rows subtracted from the similarity first. Queries and rows that are asked for but not there
+    have no rank. The similarity of the wanted pairs is taken in one pass over the blocks, the rows before them are counted
+    in another."""
+    named = wanted.toDF("qid", "rid").groupBy("qid").agg(F.collect_set("rid").alias("wanted")).withColumnRenamed("qid", queries.columns[0])
+    asked = queries.join(named, queries.columns[0])
+
+    def own(left: pa.Table, right: pa.Table, parts) -> pa.Table:
+        where = {x: i for i, x in enumerate(right.column("id").to_pylist())}
+        off = right.column(less).to_numpy() if less else None
+        lists = left.column("wanted").to_pylist()
+        out_x, out_c, out_s = [], [], []
+        for i, s in parts:
+            s = s if off is None else np.round(s - off, digits)
+            for j, row in enumerate(s):
+                at = np.array([where[x] for x in lists[i + j] if x in where], np.int64)
+                out_x.append(np.full(len(at), i + j))
+                out_c.append(at)
+                out_s.append(row[at])
+        rid = right.column("id").take(pa.array(_joined(out_c)))
+        return pa.table({"qid": left.column("id").take(pa.array(_joined(out_x))), "label": rid, "sim": pa.array(_joined(out_s, float)), "rid": rid})
+
+    kind = _kind(rows)
+    found = _in_blocks(asked, rows, own, f"qid {_kind(queries)}, label {kind}, sim double, rid {kind}", measure, digits, block)
+    return _counted_before(queries, rows, found, measure, digits, block, others=False, less=less)
+
+
+def _counted_before(queries: DataFrame, rows: DataFrame, tops: DataFrame, measure: str, digits: int, block: int, others: bool = True, less: str | None = None) -> DataFrame:
+    """(qid, label, rank) of tops (qid, label, sim, rid): one more than the rows that come before (sim, rid)."""
+    kind = dict(tops.dtypes)["label"]
+
     def before(left: pa.Table, right: pa.Table, parts) -> pa.Table:
         li, ri = left.column("id").to_numpy(), right.column("id").to_numpy()
+        off = right.column(less).to_numpy() if less else None
         flat = pc.list_flatten(left.column("best")).combine_chunks()
         flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
         ends = np.cumsum(pc.list_value_length(left.column("best")).to_numpy())
         sims, rids = flat.field("sim").to_numpy(), flat.field("rid").to_numpy(zero_copy_only=False)
         n = np.zeros(len(flat) if right.num_rows else 0, np.int64)
         for i, s in parts:
+            s = s if off is None else np.round(s - off, digits)
             for j, row in enumerate(s):
                 mine = slice(ends[i + j - 1] if i + j else 0, ends[i + j])
-                m, other = mine.stop - mine.start, ri != li[i + j]
+                m, other = mine.stop - mine.start, ri != li[i + j] if others else np.ones(len(ri), bool)
                 order = np.lexsort((np.arange(m + other.sum()) >= m, np.concatenate([rids[mine], ri[other]]), -np.concatenate([sims[mine], row[other]])))
                 passed = np.cumsum(order >= m)
                 n[mine][order[order < m]] = passed[order < m]
         x = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(n)]
         return pa.table({"qid": left.column("id").take(pa.array(x)), "label": flat.field("label").slice(0, len(n)), "n": pa.array(n)})
 
-    tops = _in_blocks(queries, rows, first, f"qid {_kind(queries)}, label {kind}, sim double, rid {ids}", measure, digits, block)
-    tops = tops.groupBy("qid", "label").agg(F.min(F.struct((-F.col("sim")).alias("o"), "rid", "sim")).alias("b"))
-    best = tops.groupBy("qid").agg(F.collect_list(F.struct("label", "b.sim", "b.rid")).alias("best"))
+    best = tops.groupBy("qid").agg(F.collect_list(F.struct("label", "sim", "rid")).alias("best"))
     asked = queries.join(best.withColumnRenamed("qid", queries.columns[0]), queries.columns[0]).select(*queries.columns[:2], "best")
-    found = _in_blocks(asked, rows.select(*rows.columns[:2]), before, f"qid {_kind(queries)}, label {kind}, n bigint", measure, digits, block)
+    found = _in_blocks(asked, rows.select(*rows.columns[:2], *[less] * bool(less)), before, f"qid {_kind(queries)}, label {kind}, n bigint", measure, digits, block)
     return found.groupBy("qid", "label").agg((F.sum("n") + 1).alias("rank"))

@@ -5,14 +5,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import scores
 from orrery.functions.filters import compile_filter
 from orrery.operators import provenance as prov
 from orrery.operators import transfer
-from orrery.operators.simjoin import nearest
 
 MAX_LIMIT = 100
 MODALITIES = {"chemical": (2048, "tanimoto"), "text": (768, "cosine"), "protein": (1280, "cosine")}
@@ -30,8 +29,8 @@ class Collection:
 class Engine:
     """collections: name to Collection; labels: (rid, label); targets: (label, gene, name, org)."""
 
-    def __init__(self, spark: SparkSession, collections: dict[str, Collection], labels: DataFrame | None = None, targets: DataFrame | None = None, encoders: dict | None = None):
-        self.spark, self._all, self.labels, self.targets, self.encoders = spark, collections, labels, targets, encoders or {}
+    def __init__(self, spark: SparkSession, collections: dict[str, Collection], labels: DataFrame | None = None, targets: DataFrame | None = None, encoders: dict | None = None, names: DataFrame | None = None):
+        self.spark, self._all, self.labels, self.targets, self.encoders, self.names = spark, collections, labels, targets, encoders or {}, names
 
     def collections(self) -> DataFrame:
         rows = [(n, c.modality, c.dim or MODALITIES[c.modality][0]) for n, c in self._all.items()]
@@ -69,25 +68,47 @@ class Engine:
         if target is None:
             rows = kept.drop("vector")
             return (rows.filter(F.col("id") > after) if after is not None else rows).orderBy("id").limit(n)
-        kind = dict(c.rows.dtypes)["vector"]
-        asked = self.spark.createDataFrame([(0, target)], f"id bigint, vector {kind}")
-        near = nearest(asked, kept.select("id", "vector"), n + int(offset), measure=MODALITIES[c.modality][1]).filter(F.col("rk") > int(offset))
-        return near.select(F.col("rid").alias("id"), F.round("sim", 4).alias("score"), "rk").join(payload, "id").orderBy("rk").drop("rk")
+        # each partition keeps its best rows; only these are merged
+        return self._scored(kept, c.modality, target).withColumn("score", F.round("score", 12)).orderBy(F.col("score").desc(), "id").limit(n + int(offset)).offset(int(offset)).drop("vector").withColumn("score", F.round("score", 4))
+
+    @staticmethod
+    def _scored(rows: DataFrame, modality: str, target: list) -> DataFrame:
+        """Rows with a vector and its similarity to one vector, as an expression of that literal."""
+        rows = rows.filter(F.col("vector").isNotNull())
+        measure = scores.tanimoto if MODALITIES[modality][1] == "tanimoto" else scores.cosine
+        kind = dict(rows.dtypes)["vector"]
+        return rows.withColumn("score", F.coalesce(measure(F.lit(list(target)).cast(kind), F.col("vector")), F.lit(0.0)))
 
     def count(self, collection: str, *, filter: dict | None = None) -> int:  # noqa: A002
         rows = self._collection(collection).rows
         return rows.filter(compile_filter(rows, filter)).count()
 
-    def predict(self, reference: str, *, vector: list, top: int = 10, human_only: bool = True, floor: float = 0.3) -> DataFrame:
-        """Labels of one fingerprint: (label, gene, name, conf, support, band), best first; unknown organisms stay."""
-        rows = self._collection(reference).rows
-        asked = self.spark.createDataFrame([(0, list(vector))], f"id bigint, vector {dict(rows.dtypes)['vector']}")
-        ranked = transfer.transfer_labels(nearest(asked, rows.select("id", "vector"), 20, 0.3), self.labels)
-        named = ranked.join(self.targets, "label", "left")
+    def predict(self, reference: str, *, vector: list, top: int = 10, human_only: bool = True, floor: float = 0.3, known: list[str] | None = None) -> DataFrame:
+        """Labels of one fingerprint: (label, gene, name, conf, support, band, known), best first; unknown organisms stay.
+        Labels in ``known`` are kept below the floor too."""
+        c = self._collection(reference)
+        near = self._scored(c.rows.select("id", "vector"), c.modality, vector).withColumn("sim", F.round("score", 12)).filter("sim >= 0.3").orderBy(F.col("sim").desc(), "id").limit(20)
+        # at most twenty rows
+        near = near.select(F.lit(0).alias("qid"), F.col("id").alias("rid"), "sim").withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("sim").desc(), "rid")))
+        ranked = transfer.transfer_labels(near, self.labels)
+        named = ranked.join(self.targets, "label", "left").withColumn("known", F.col("label").isin(list(known or [])))
         if human_only:
             named = named.filter("org is null or org like '%Homo sapiens%'")
-        out = named.filter(F.col("conf") >= floor).orderBy("rk").limit(max(1, min(int(top), MAX_LIMIT)))
-        return out.select("label", "gene", "name", F.round("conf", 3).alias("conf"), "support", scores.confidence_band(F.col("conf")).alias("band"))
+        out = named.filter((F.col("conf") >= floor) | F.col("known")).orderBy("rk").limit(max(1, min(int(top), MAX_LIMIT)))
+        return out.select("label", "gene", "name", F.round("conf", 3).alias("conf"), "support", scores.confidence_band(F.col("conf")).alias("band"), "known")
+
+    def name(self, *, key: str, parts: list[str] | None = None, prefix: int = 14) -> str | None:
+        """The name of a key, else of its first ``prefix`` characters, else of the keys of its parts, tried in their order
+        in the same way; None if nothing is known. ``names`` is (key, name)."""
+        if self.names is None:
+            raise ValueError("no names are there")
+        wanted = [key, *(parts or [])]
+        heads = list(dict.fromkeys(k[:prefix] for k in wanted))
+        near = self.names.filter(F.substring("key", 1, prefix).isin(heads) & F.col("name").isNotNull())
+        # the least name of each whole key and, in case none has one, of each head
+        whole = {r.key: r.n for r in near.filter(F.col("key").isin(wanted)).groupBy("key").agg(F.min("name").alias("n")).collect()}
+        head = {r.h: r.n for r in near.groupBy(F.substring("key", 1, prefix).alias("h")).agg(F.min_by("name", "key").alias("n")).collect()}
+        return next((n for k in wanted if (n := whole.get(k) or head.get(k[:prefix]))), None)
 
     def provenance(self, links: DataFrame, records: DataFrame, *, ids: list, most: int = 8) -> DataFrame:
         return prov.provenance(links.filter(F.col("item").isin(ids)), records, most)

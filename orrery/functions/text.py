@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Legal forms that end an assignee, and 'and' left over before them.
-LEGAL_ENDS = "inc|incorporated|corp|corporation|co|company|ltd|limited|llc|lp|plc|gmbh|ag|kg|sa|nv|bv|ab|and"
+LEGAL_ENDS = "inc|incorporated|corp|corporation|co|company|ltd|limited|llc|lp|llp|plc|ag|gmbh|mbh|sa|nv|kg|kgaa|ab|oy|oyj|spa|bv|pty|pte|srl|aps|as|kk|ulc|pc|pllc|sas|sl|lda|and"
+# Names that the rules cannot bring together.
+ALIASES = {"E I Du Pont De Nemours": "Du Pont", "Du Pont De Nemours": "Du Pont", "Amira Phamaceuticals": "Amira Pharmaceuticals"}
 
 
 def clean_text(c: Column) -> Column:
@@ -40,12 +42,17 @@ def searchable_text(title: Column, *bodies: Column) -> Column:
 
 
 def canonical_assignee(c: Column) -> Column:
-    """One spelling for an assignee: bracketed country dropped, '&' as 'and', punctuation and hyphens as blanks, legal
-    forms at the end removed as often as they stand there, each word capitalised."""
-    c = F.regexp_replace(F.lower(c), r"\([a-z]{2}\)", " ")
-    c = F.regexp_replace(F.regexp_replace(c, "&", " and "), "[^a-z0-9 ]", " ")
-    c = F.trim(F.regexp_replace(c, " +", " "))
-    return F.initcap(F.regexp_replace(c, f"( ({LEGAL_ENDS}))+$", ""))
+    """One spelling for an assignee: a country in brackets at the end dropped, '&' as 'and', full stops, commas, underlines
+    and hyphens as blanks, legal forms at the end removed as often as they stand there, each word capitalised, then the
+    aliases. Null becomes ''."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\([A-Za-z]{2}\)\s*$", "")
+    c = F.regexp_replace(F.regexp_replace(c, "&", " and "), "[._,-]", " ")
+    c = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    c = F.trim(F.regexp_replace(c, f"((^| )({LEGAL_ENDS}))+$", ""))
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"))
+    out = F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), "")
+    named = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    return F.coalesce(named[out], out)
 
 
 def code_class(c: Column) -> Column:

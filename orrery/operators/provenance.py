@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 def span(df: DataFrame, group: str, date: str, tie: str, k: int) -> DataFrame:
     """The earliest ceil(k / 2) and latest floor(k / 2) rows of each group by date (null dates first), then ``tie``;
     never more than k."""
+    return _ends(df, group, date, tie, (k + 1) // 2, k // 2)
+
+
+def _ends(df: DataFrame, group: str, date: str, tie: str, first: int, last: int) -> DataFrame:
+    """The first and last rows of each group. Each end is its own ranking, so Spark's limit within a partition bounds what
+    a task gets of a hot group to ``first`` or ``last`` rows from each other task; a row at both ends counts once (``tie`` tells
+    the rows of a group and date apart)."""
     w = Window.partitionBy(group)
     up, down = w.orderBy(F.col(date).asc_nulls_first(), F.col(tie)), w.orderBy(F.col(date).desc_nulls_last(), F.col(tie).desc())
-    return df.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down)).filter((F.col("_up") <= (k + 1) // 2) | (F.col("_down") <= k // 2)).drop("_up", "_down")
+    low = df.withColumn("_at", F.row_number().over(up)).filter(F.col("_at") <= first)
+    high = df.withColumn("_at", F.row_number().over(down)).filter(F.col("_at") <= last)
+    both = low.withColumn("_end", F.lit(0)).unionByName(high.withColumn("_end", F.lit(1)))
+    # within a group of at most first + last rows: those of the low end, then those of the high end that it has not
+    again = F.row_number().over(Window.partitionBy(group, date, tie).orderBy("_end", "_at"))
+    return both.withColumn("_again", again).filter((F.col("_end") == 0) | (F.col("_again") == 1)).drop("_at", "_end", "_again")
 
 
 def provenance(links: DataFrame, records: DataFrame, k: int = 8, noise: int = 2000) -> DataFrame:
@@ -27,10 +39,10 @@ def provenance(links: DataFrame, records: DataFrame, k: int = 8, noise: int = 20
     taken = claimed.groupBy("item").agg(F.count(F.lit(1)).alias("taken"))
     room = F.lit(k) - F.coalesce("taken", F.lit(0))
     w = Window.partitionBy("item")
-    up, down = w.orderBy(F.col("date").asc_nulls_first(), "record"), w.orderBy(F.col("date").desc_nulls_last(), F.col("record").desc())
+    ends = _ends(dated.filter("not claimed"), "item", "date", "record", (k + 1) // 2, k // 2)
+    up, down = w.orderBy(F.col("date").asc_nulls_first(), F.col("record")), w.orderBy(F.col("date").desc_nulls_last(), F.col("record").desc())
     others = (
-        dated.filter("not claimed").withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down))
-        .filter((F.col("_up") <= k) | (F.col("_down") <= k)).join(taken, "item", "left")
+        ends.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down)).join(taken, "item", "left")
         .filter((F.col("_up") <= F.floor((room + 1) / 2)) | (F.col("_down") <= F.floor(room / 2)))
     )
     shown = claimed.select("item", "record", "claimed", "date").unionByName(others.select("item", "record", "claimed", "date"))

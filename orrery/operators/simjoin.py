@@ -32,7 +32,16 @@ def _dot(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return q @ r.T
 
 
-MEASURES = {"tanimoto": (_tanimoto, np.uint64), "cosine": (_cosine, np.float64), "dot": (_dot, np.float64)}
+def _bayes(q: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of weights over the set bits of q; minus infinity where no set bit weighs more than one that was never seen."""
+    bits = np.unpackbits(np.ascontiguousarray(q).view(np.uint8), axis=1, bitorder="little").astype(np.float64)
+    seen = w > w.min(1, keepdims=True)
+    seen |= ~seen.any(1, keepdims=True)
+    return np.where(bits @ seen.T.astype(np.float64) > 0, bits @ w.T, -np.inf)
+
+
+# measure, what the vectors of queries hold, what those of rows hold
+MEASURES = {"tanimoto": (_tanimoto, np.uint64, np.uint64), "cosine": (_cosine, np.float64, np.float64), "dot": (_dot, np.float64, np.float64), "bayes": (_bayes, np.uint64, np.float64)}
 
 
 def _in_blocks(queries: DataFrame, rows: DataFrame, work, schema: str, measure: str, digits: int, block: int) -> DataFrame:
@@ -43,7 +52,7 @@ def _in_blocks(queries: DataFrame, rows: DataFrame, work, schema: str, measure:
     same similarities; parts yields (number of the first query, similarities of up to 512 queries to all rows of the
     block, rounded to ``digits``) and nothing if a side is empty.
     """
-    score, kind = MEASURES[measure]
+    score, kind_q, kind_r = MEASURES[measure]
     clean = lambda d: d.select(F.col(d.columns[0]).alias("id"), F.col(d.columns[1]).alias("v"), *d.columns[2:]).filter("id is not null and v is not null").filter(~F.exists("v", lambda x: x.isNull()))
     q, r = clean(queries), clean(rows)
     nq, nr = max(1, -(-q.count() // block)), max(1, -(-r.count() // block))
@@ -56,7 +65,7 @@ def _in_blocks(queries: DataFrame, rows: DataFrame, work, schema: str, measure:
         left, right = left.sort_by("id"), right.sort_by("id")
         if not (left.num_rows and right.num_rows):
             return work(left, right, ())
-        a, b = _matrix(left.column("v"), kind), _matrix(right.column("v"), kind)
+        a, b = _matrix(left.column("v"), kind_q), _matrix(right.column("v"), kind_r)
         return work(left, right, ((i, np.round(score(a[i : i + 512], b), digits)) for i in range(0, len(a), 512)))
 
     return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(task, schema)

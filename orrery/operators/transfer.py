@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.simjoin import nearest
+
 
 def rank_within(df: DataFrame, group: str, *order: Column, name: str = "rk") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
@@ -46,14 +48,18 @@ def drop_weak(predicted: DataFrame, floor: float = 0.4, most: int = 50) -> DataF
     return rank_within(strong, "qid", F.col("conf").desc(), F.col("label")).filter(F.col("rk") <= most)
 
 
-def naive_bayes(training: DataFrame, queries: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """(qid, label, score): sum over the query's set bits of ln((c + alpha) / (n + 2 alpha)), c of n training rows of
-    the label having the bit. training: (rid, label, bit); queries: (qid, bit)."""
+def naive_bayes(training: DataFrame, queries: DataFrame, k: int, alpha: float = 1.0, bits: int = 2048) -> DataFrame:
+    """(qid, label, score, rk): for each query (qid, fp) the k labels of the highest sum over its set bits of
+    ln((c + alpha) / (n + 2 alpha)), c of n training rows (rid, label, bit) of the label having the bit, ties to the smaller
+    label; labels none of whose rows has a bit of the query are left out.
+
+    Each label becomes one vector of its weights; blocks of queries meet blocks of labels in matrix products, so neither
+    queries nor bits are multiplied with labels in rows.
+    """
     sizes = training.groupBy("label").agg(F.countDistinct("rid").alias("n"))
     counts = training.groupBy("label", "bit").agg(F.count(F.lit(1)).alias("c"))
-    base = sizes.withColumn("none", F.log(F.lit(alpha) / (F.col("n") + 2 * alpha)))
-    # every label scores every query: the sum over all bits at c = 0, then the gain of the bits the label has
-    gain = counts.join(base, "label").select("label", "bit", F.log((F.col("c") + alpha) / (F.col("n") + 2 * alpha)).alias("w"), "none")
-    seen = queries.join(gain, "bit").groupBy("qid", "label").agg(F.sum(F.col("w") - F.col("none")).alias("gain"))
-    bits = queries.groupBy("qid").agg(F.count(F.lit(1)).alias("bits"))
-    return seen.join(bits, "qid").join(base, "label").select("qid", "label", F.round(F.col("gain") + F.col("bits") * F.col("none"), 6).alias("score"))
+    held = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("bit", "c"))).alias("c")).join(sizes, "label")  # at most ``bits`` entries
+    weight = lambda b: F.log((F.coalesce(F.element_at("c", b), F.lit(0)) + alpha) / (F.col("n") + 2 * alpha))
+    labels = held.select("label", F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), weight).alias("w"))
+    near = nearest(queries, labels, k, floor=-1e300, measure="bayes", digits=6)
+    return near.select("qid", F.col("rid").alias("label"), F.col("sim").alias("score"), "rk")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orrery.functions import hashing, scores, text
 from orrery.functions.filters import compile_filter
 from orrery.operators import delta, evaluate, transfer
+from orrery.operators.order import running_number
 from orrery.operators.provenance import provenance, span
 from orrery.operators.simjoin import best_ranks, count_within, label_sums, mean_similarity, nearest
 from orrery.session import cut, table
@@ -60,7 +61,7 @@ def _neighbours(spark, d) -> DataFrame:
 
 def _labels(spark, d) -> DataFrame:
     """Ligand to target: each ligand has two targets by position in the sorted target list (a dimension table)."""
-    t = table(spark, d, "targets").select("acc").withColumn("i", F.row_number().over(Window.orderBy("acc")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    t = running_number(table(spark, d, "targets").select("acc"), ["acc"], "i")
     n = t.count()
     c = table(spark, d, "chembl").select(F.col("cid").alias("rid"), F.explode(F.array(F.col("cid") % n, (F.col("cid") * 7 + 3) % n)).alias("i"))
     return c.join(t.select(F.col("i").cast("bigint").alias("i"), F.col("acc").alias("label")), "i").select("rid", "label").distinct()
@@ -130,7 +131,9 @@ def coverage_bands(spark, d):
 @query(f"with {BEST} select count(*) as n, round(median(best), 6) as median_best, round(avg(best), 6) as mean_best from bq")
 def coverage_summary(spark, d):
     best = transfer.best_and_flags(_queries(spark, d).select("qid"), _neighbours(spark, d))
-    return best.agg(F.count(F.lit(1)).alias("n"), F.round(F.median("best"), 6).alias("median_best"), F.round(F.avg("best"), 6).alias("mean_best"))
+    per = best.groupBy("best").agg(F.count(F.lit(1)).alias("m"))
+    median = evaluate.weighted_median(per, "best", "m").select(F.round("median", 6).alias("median_best"))
+    return best.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("best"), 6).alias("mean_best")).join(median)  # one row each
 
 
 @query(f"with {PRED} select qid, label, row_number() over (partition by qid order by conf desc, support desc, label) as rk from sc qualify rk <= 10")
@@ -145,7 +148,8 @@ select qid, label, row_number() over (partition by qid order by src, p, label) a
 def single_nn_padded(spark, d):
     """Labels of the one nearest neighbour, filled up with the five most popular ones."""
     labels = _labels(spark, d)
-    pop = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.row_number().over(Window.orderBy(F.col("n").desc(), "label"))).filter("p <= 5")
+    five = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(5)
+    pop = five.withColumn("p", F.row_number().over(Window.orderBy(F.col("n").desc(), "label")))
     own = _neighbours(spark, d).filter("rk = 1").join(labels, "rid").select("qid", "label", F.lit(0).alias("src"), F.lit(0).alias("p"))
     pad = _queries(spark, d).select("qid").join(F.broadcast(pop.select("label", F.lit(1).alias("src"), "p")))  # five rows
     merged = own.unionByName(pad).groupBy("qid", "label").agg(F.min("src").alias("src"), F.min("p").alias("p"))
@@ -185,9 +189,7 @@ select qid, label, round(score, 6) as score, row_number() over (partition by qid
 def naive_bayes_bits(spark, d):
     bits = F.flatten(F.transform("fp", lambda w, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", w, b) == 1), lambda b: b + i * 64)))
     refs = table(spark, d, "chembl").filter("fp is not null").select(F.col("cid").alias("rid"), F.explode(bits).alias("bit"))
-    asked = _queries(spark, d).select("qid", F.explode(bits).alias("bit"))
-    scored = transfer.naive_bayes(refs.join(_labels(spark, d), "rid"), asked)
-    return transfer.rank_within(scored, "qid", F.col("score").desc(), F.col("label")).filter("rk <= 5").select("qid", "label", "score", *_long("rk"))
+    return transfer.naive_bayes(refs.join(_labels(spark, d), "rid"), _queries(spark, d).select("qid", "fp"), 5).select("qid", "label", "score", *_long("rk"))
 
 
 @query(f"with {PRED} select qid, label, conf, row_number() over (partition by qid order by conf desc, label) as rk from sc where not (support = 1 and conf < 0.4) qualify rk <= 50")
@@ -407,10 +409,11 @@ def span_per_record(spark, d):
 
 
 LE = text.LEGAL_ENDS
+_ALIAS = " ".join(f"when '{k}' then '{v}'" for k, v in text.ALIASES.items())
 
 
-@query(f"""with n as (select distinct unnest(assignees) as name from patents), c as (select name, regexp_replace(trim(regexp_replace(regexp_replace(replace(regexp_replace(lower(name), '\\([a-z]{{2}}\\)', ' ', 'g'), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '( ({LE}))+$', '', 'g') as k from n where name is not null)
-select name, array_to_string(list_transform(string_split(k, ' '), lambda w: upper(w[1]) || w[2:]), ' ') as assignee from c""")
+@query(f"""with n as (select distinct unnest(assignees) as name from patents), c as (select name, trim(regexp_replace(lower(trim(regexp_replace(regexp_replace(replace(regexp_replace(name, '\\s*\\([A-Za-z]{{2}}\\)\\s*$', ''), '&', ' and '), '[._,-]', ' ', 'g'), '\\s+', ' ', 'g'))), '((^| )({LE}))+$', '')) as k from n where name is not null),
+t as (select name, array_to_string(list_transform(regexp_extract_all(k, '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: upper(w[1]) || w[2:]), '') as a from c) select name, case a {_ALIAS} else a end as assignee from t""")
 def assignee_canonical(spark, d):
     n = table(spark, d, "patents").select(F.explode("assignees").alias("name")).filter("name is not null").distinct()
     return n.select("name", text.canonical_assignee(F.col("name")).alias("assignee"))
@@ -721,7 +724,9 @@ def group_split(spark, d):
         used += fit * r.n
         take.append((r.n, fit))
     fits = F.broadcast(spark.createDataFrame(take, "n bigint, fit bigint"))
-    return g.join(fits, "n").withColumn("i", F.row_number().over(Window.partitionBy("n").orderBy("grp"))).select("grp", "n", (F.col("i") <= F.col("fit")).alias("in_train"))
+    numbered = cut(running_number(g, ["n", "grp"], "i"))  # singletons can be most groups, so no window over one size
+    first = numbered.groupBy("n").agg(F.min("i").alias("lo"))
+    return numbered.join(F.broadcast(first), "n").join(fits, "n").select("grp", "n", (F.col("i") - F.col("lo") < F.col("fit")).alias("in_train"))
 
 
 # ---- streams ------------------------------------------------------------------------------------------------------------

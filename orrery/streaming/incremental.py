@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators.delta import keep_one, upsert
+from orrery.operators.state import pick_latest, upsert_newer
 from orrery.session import ensure_checkpoint_dir
 
 
@@ -22,19 +22,51 @@ def deduplicated(events: DataFrame, key: str = "event_id", late: str = "1 hour")
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_batches(stream: DataFrame, key: str, version: str, base: str, checkpoint: str):
-    """Runs the available input once; each micro-batch writes the next version under ``base`` (v0, v1, ...) by last
-    version wins, so a repeated batch changes nothing."""
+def upsert_batches(stream: DataFrame, key: str, version: str, base: str, checkpoint: str, buckets: int = 64):
+    """Runs the available input once; each micro-batch adds to the store under ``base``, in which the row of the greatest
+    version of each key counts, whichever batch brings it: an older version that arrives late replaces nothing, and a
+    repeated batch changes nothing. ``current_rows`` reads the store.
+
+    The store is cut into ``buckets`` by the key; a batch writes new versions of only those buckets that it touches, each
+    bucket's folder bearing the number of the batch, so that what readers see is never overwritten.
+    """
     spark = stream.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
-        patch = keep_one(batch, [key], F.col(version).desc())
-        before = spark.read.parquet(f"{base}/v{number - 1}") if number else patch.limit(0)
-        upsert(before, patch, [key]).write.mode("overwrite").parquet(f"{base}/v{number}")
+        patch = pick_latest(batch, [key], version).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in patch.select("_bucket").distinct().collect()]  # at most ``buckets``
+        held = _bucket_paths(spark, base, number)
+        old = [held[b] for b in touched if b in held]
+        if old:
+            before = spark.read.option("basePath", base).parquet(*old).drop("_batch").select(*patch.columns)
+            patch = upsert_newer(before, patch, [key, "_bucket"], version)
+        patch.write.mode("overwrite").partitionBy("_bucket").parquet(f"{base}/_batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _bucket_paths(spark: SparkSession, base: str, before: int | None = None) -> dict[int, str]:
+    """The newest folder of each bucket, written whole by a batch of a number less than ``before``."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path
+    fs = folder(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder(base)):
+        return {}
+    batches = sorted(int(x.getPath().getName().removeprefix("_batch=")) for x in fs.listStatus(folder(base)) if x.getPath().getName().startswith("_batch="))
+    out = {}
+    for n in batches:
+        if (before is None or n < before) and fs.exists(folder(f"{base}/_batch={n}/_SUCCESS")):
+            for x in fs.listStatus(folder(f"{base}/_batch={n}")):
+                if x.getPath().getName().startswith("_bucket="):
+                    out[int(x.getPath().getName().removeprefix("_bucket="))] = f"{base}/_batch={n}/{x.getPath().getName()}"
+    return out
+
+
+def current_rows(spark: SparkSession, base: str) -> DataFrame:
+    """The store that ``upsert_batches`` keeps, one row a key."""
+    return spark.read.option("basePath", base).parquet(*_bucket_paths(spark, base).values()).drop("_batch", "_bucket")
+
+
 def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Drives a stream over all available input into a memory table of that name."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -34,6 +34,23 @@ def test_predict_self(engine):
     assert "P0" not in [r.label for r in engine.predict("ligands", vector=row.vector).collect()]
 
 
+def test_known_labels_stay_below_the_floor(engine):
+    row = engine._all["ligands"].rows.filter("id % 5 <> 0").orderBy("id").first()
+    every = engine.predict("ligands", vector=row.vector, top=100).collect()
+    last = every[-1]
+    out = {r.label: r.known for r in engine.predict("ligands", vector=row.vector, floor=1.0, known=[last.label]).collect()}
+    assert out[last.label] is True and all(k or r.conf >= 1.0 for r in every if r.label in out for k in [out[r.label]])
+
+
+def test_names(spark, engine):
+    names = spark.createDataFrame([("AAAAAAAAAAAAAA-X", "whole"), ("AAAAAAAAAAAAAA-B", "first"), ("CCCCCCCCCCCCCC-C", "part"), ("DDDDDDDDDDDDDD", None)], "key string, name string")
+    e = Engine(spark, {}, names=names)
+    assert e.name(key="AAAAAAAAAAAAAA-X") == "whole" and e.name(key="AAAAAAAAAAAAAA-Z") == "first"
+    assert e.name(key="ZZZ", parts=["DDDDDDDDDDDDDD", "CCCCCCCCCCCCCC-Q"]) == "part" and e.name(key="ZZZ") is None
+    with pytest.raises(ValueError):
+        engine.name(key="x")
+
+
 def test_errors(engine):
     for bad in (lambda: engine.query("none"), lambda: engine.query("texts", text="x"), lambda: engine.query("texts", like=-1), lambda: engine.count("texts", filter={"nope": 1}), lambda: engine.count("texts", filter={"label": {"near": 1}})):
         with pytest.raises(ValueError):

@@ -2,8 +2,10 @@ import gzip
 
 import pytest
 
+from orrery.operators import state
+from orrery.operators.order import running_number, running_sum
 from orrery.sources import readers, writers
-from orrery.streaming.incremental import upsert_batches
+from orrery.streaming.incremental import current_rows, upsert_batches
 
 
 def put(path, text):
@@ -51,8 +53,63 @@ def test_writers(spark, tmp_path):
 
 
 def test_stream_upserts(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, v int, x string")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    upsert_batches(stream, "k", "v", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert {(r.k, r.x) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {(1, "b"), (2, "c")}
+    schema = "k int, v int, x string"
+    for i, rows in enumerate([[(1, 1, "a"), (1, 5, "b"), (2, 1, "c"), (3, 1, "d")], [(1, 2, "late"), (2, 7, "new")], [(2, 7, "new")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        upsert_batches(stream, "k", "v", str(tmp_path / "out"), str(tmp_path / "ck"), buckets=4).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "in")).count() == (4, 6, 7)[i]
+    assert {tuple(r) for r in current_rows(spark, str(tmp_path / "out")).select("k", "v", "x").collect()} == {(1, 5, "b"), (2, 7, "new"), (3, 1, "d")}
+
+
+def test_state_helpers(spark, tmp_path):
+    import datetime
+
+    day = datetime.date(2024, 1, 10)
+    assert [state.run_mode(a, day, b) for a, b in ((None, True), (day, False), (day, True), (datetime.date(2024, 1, 1), True))] == ["fresh", "fresh", "skip", "update"]
+    tries = []
+
+    def fails():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError
+        return 7
+
+    assert state.with_retry(fails, first_wait=0) == 7
+    with pytest.raises(OSError):
+        state.with_retry(lambda: (_ for _ in ()).throw(OSError()), 2, 0)
+    a = spark.createDataFrame([(1, 3, "x"), (1, 3, "y"), (2, None, None), (None, 1, "z")], "k int, v int, x string")
+    once = {tuple(r) for r in state.pick_latest(a, ["k"], "v").collect()}
+    assert len(once) == 3 and {(2, None, None), (None, 1, "z")} < once
+    assert {tuple(r) for r in state.upsert_newer(a, a, ["k"], "v").collect()} == once
+    assert readers.merged_settings({"a": {"b": 1, "c": 2}, "d": [1]}, {"a": {"b": 3}, "d": [2], "e": 1}) == {"a": {"b": 3, "c": 2}, "d": [2], "e": 1}
+
+
+def test_archives(spark):
+    import io
+    import zipfile
+
+    import numpy as np
+
+    doc = '<?xml version="1.0"?><us-patent-grant><publication-reference><document-id><country>US</country><doc-number>0{n}</doc-number><kind>B2</kind><date>2020{m}01</date></document-id></publication-reference><invention-title>T <i>x</i></invention-title><abstract><p>One</p></abstract><claims><claim>c1</claim><claim>c2</claim></claims></us-patent-grant>\n'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.xml", doc.format(n=11, m="01") + doc.format(n=12, m="99") + '<?xml version="1.0"?><broken>')
+        z.writestr("readme.txt", "no")
+    files = spark.createDataFrame([("a", out.getvalue()), ("b", b"no zip"), ("c", None)], "path string, content binary")
+    rows = sorted(readers.patent_zips(files).collect())
+    assert [(r.patent_number, r.title, r.abstract, r.claims, str(r.publication_date)) for r in rows] == [("US-11-B2", "T x", "One", ["c1", "c2"], "2020-01-01"), ("US-12-B2", "T x", "One", ["c1", "c2"], "None")]
+    out = io.BytesIO()
+    np.savez(out, vectors=np.arange(6).reshape(3, 2), ids=np.array(["a", "b", "c"]))
+    got = readers.npz_matrix(spark.createDataFrame([("m", out.getvalue())], "path string, content binary")).collect()
+    assert [(r.key, r.vector) for r in got] == [("a", [0.0, 1.0]), ("b", [2.0, 3.0]), ("c", [4.0, 5.0])]
+
+
+def test_running_numbers(spark):
+    rows = [(i * 7 % 50, None if i % 9 == 0 else f"x{i % 4}") for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, s string").repartition(5)
+    got = {r.id: r.number for r in running_number(df, ["s", "id"]).collect()}
+    assert got == {i: n for n, (i, _s) in enumerate(sorted(rows, key=lambda r: (r[1] or "", r[0])))}
+    assert running_number(df.limit(0), ["s", "id"]).count() == 0
+    sums = {r.id: r.t for r in running_sum(df, ["id"], "id", "t").collect()}
+    assert sums == {i: i * (i + 1) // 2 for i in range(50)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,3 +49,36 @@ def provenance(links: DataFrame, records: DataFrame, k: int = 8, noise: int = 20
     shown = claimed.select("item", "record", "claimed", "date").unionByName(others.select("item", "record", "claimed", "date"))
     order = w.orderBy(F.col("claimed").desc(), F.col("date").desc_nulls_last(), "record")
     return shown.join(counts, "item").select("item", "n", (F.col("n") > noise).alias("noise"), "record", "date", "claimed", F.row_number().over(order).alias("place"))
+
+
+def contiguous_groups(df: DataFrame, group: str, date: str) -> DataFrame:
+    """(group, n, first, last) of rows that stream by in the order of their group, with the state of one group at a time.
+
+    Rows are range-partitioned by group and date, so a hot group is cut over several partitions; each partition reports its
+    part of a group when the next one begins, and the parts are merged. Null groups are left out; null dates count as rows
+    only.
+    """
+    kind = dict(df.dtypes)[date]
+    name = dict(df.dtypes)[group]
+
+    def run(frames):
+        key, n, lo, hi = None, 0, None, None
+        for frame in frames:
+            out = []
+            for g, part in frame.groupby("g", sort=False):
+                days = part["d"].dropna()
+                a, b = (days.min(), days.max()) if len(days) else (None, None)
+                if g != key and key is not None:
+                    out.append((key, n, lo, hi))
+                if g != key:
+                    key, n, lo, hi = g, 0, None, None
+                n += len(part)
+                lo = a if lo is None else lo if a is None else min(lo, a)
+                hi = b if hi is None else hi if b is None else max(hi, b)
+            yield pd.DataFrame(out, columns=["g", "n", "lo", "hi"])
+        if key is not None:
+            yield pd.DataFrame([(key, n, lo, hi)], columns=["g", "n", "lo", "hi"])
+
+    rows = df.select(F.col(group).alias("g"), F.col(date).alias("d")).filter("g is not null")
+    parts = rows.repartitionByRange("g", "d").sortWithinPartitions("g").mapInPandas(run, f"g {name}, n bigint, lo {kind}, hi {kind}")
+    return parts.groupBy(F.col("g").alias(group)).agg(F.sum("n").alias("n"), F.min("lo").alias("first"), F.max("hi").alias("last"))

@@ -106,3 +106,21 @@ def read_through(cache: DataFrame, wanted: DataFrame, fetched: DataFrame) -> tup
 def merge_ledger(ledger: DataFrame, entries: DataFrame) -> DataFrame:
     """(file, n_rows, finished_at) with one row a file: the latest entry counts, whichever run wrote it."""
     return upsert_newer(ledger, entries, ["file"], "finished_at")
+
+
+def process_from(df: DataFrame, key: str, rows: int, state: str, action: Callable[[DataFrame], None]) -> int:
+    """Hands ``df`` to ``action`` in batches of ``rows`` rows in the order of the unique, not null ``key``, and notes the last
+    key of each batch under ``state`` after its action is done; a run that was broken off goes on behind that key. Returns
+    the number of batches of this run. The batch in work when a run broke off is handed over again whole.
+    """
+    spark, done = df.sparkSession, 0
+    while True:
+        version = _last_version(spark, state)
+        rest = df if version is None else df.filter(F.col(key) > F.lit(spark.read.parquet(f"{state}/v{version}").first()[0]))
+        last = rest.select(key).orderBy(key).limit(rows).agg(F.max(key).alias("last"))
+        upto = last.first()[0]
+        if upto is None:
+            return done
+        action(rest.filter(F.col(key) <= F.lit(upto)))
+        spark.createDataFrame([(upto,)], last.schema).write.mode("overwrite").parquet(f"{state}/v{0 if version is None else version + 1}")
+        done += 1

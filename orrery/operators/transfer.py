@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.simjoin import nearest
+from orrery.session import cut
 
 
 def rank_within(df: DataFrame, group: str, *order: Column, name: str = "rk") -> DataFrame:
@@ -58,8 +61,18 @@ def naive_bayes(training: DataFrame, queries: DataFrame, k: int, alpha: float =
     """
     sizes = training.groupBy("label").agg(F.countDistinct("rid").alias("n"))
     counts = training.groupBy("label", "bit").agg(F.count(F.lit(1)).alias("c"))
-    held = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("bit", "c"))).alias("c")).join(sizes, "label")  # at most ``bits`` entries
-    weight = lambda b: F.log((F.coalesce(F.element_at("c", b), F.lit(0)) + alpha) / (F.col("n") + 2 * alpha))
-    labels = held.select("label", F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), weight).alias("w"))
+    held = counts.groupBy("label").agg(F.collect_list("bit").alias("bits"), F.collect_list("c").alias("counts")).join(sizes, "label")  # at most ``bits`` entries
+    kind = dict(training.dtypes)["label"]
+
+    def weights(batches):
+        for batch in batches:
+            m = np.empty((batch.num_rows, bits))
+            for i, (at, c, n) in enumerate(zip(batch.column("bits"), batch.column("counts"), batch.column("n").to_numpy())):
+                m[i] = np.log(alpha / (n + 2 * alpha))
+                m[i, at.values.to_numpy()] = np.log((c.values.to_numpy() + alpha) / (n + 2 * alpha))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * bits), pa.array(m.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), lists], ["label", "w"])
+
+    labels = cut(held.mapInArrow(weights, f"label {kind}, w array<double>"))  # counted, then met
     near = nearest(queries, labels, k, floor=-1e300, measure="bayes", digits=6)
     return near.select("qid", F.col("rid").alias("label"), F.col("sim").alias("score"), "rk")

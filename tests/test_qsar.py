@@ -18,3 +18,11 @@ def test_refuses(spark):
     for bad in (rows(50), [(i, f, g, 1.0) for i, f, g, _y in rows(300)]):
         with pytest.raises(ValueError):
             fit_and_score(spark.createDataFrame(bad, SCHEMA))
+
+
+def test_forest_is_kept_and_read(spark, tmp_path):
+    from orrery.operators.qsar import load_model
+
+    out = fit_and_score(spark.createDataFrame(rows(400), SCHEMA), kind="forest", save=str(tmp_path)).first()
+    model, measures = load_model(spark, str(tmp_path))
+    assert out.auc > 0.9 and abs(measures.auc - out.auc) < 1e-9 and model.getNumTrees == 20

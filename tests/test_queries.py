@@ -1,11 +1,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from orrery.plans import exchange, library, problems, records
+from orrery.plans import exchange, library, problems, records, serving
 from tests.compare import same
 
-ALL = library.QUERIES | records.QUERIES | exchange.QUERIES | problems.QUERIES
-SQL = library.SQL | records.SQL | exchange.SQL | problems.SQL
+ALL = library.QUERIES | records.QUERIES | exchange.QUERIES | serving.QUERIES | problems.QUERIES
+SQL = library.SQL | records.SQL | exchange.SQL | serving.SQL | problems.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

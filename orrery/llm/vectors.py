@@ -90,6 +90,47 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 5, seed: int = 7) -> np.nda
     return centres
 
 
+class Lists:
+    """Which list a vector belongs to. Up to ``most`` lists have one centre each, over the first ``dims`` rotated
+    dimensions. Where more are wanted, a list is a pair of centres, the second one over the next ``dims`` dimensions, so
+    that lists keep their length as the collection grows while only the sum of the two numbers of centres is fitted."""
+
+    def __init__(self, sample: np.ndarray, rotation: Rotation, wanted: int, most: int, dims: int):
+        self.rotation, self.dims = rotation, dims
+        self.first = min(wanted, most, len(sample))
+        self.second = min(-(-wanted // most), most, len(sample)) if 2 * dims <= rotation.dim else 1
+        parts = [self._halves(_unit(sample[i : i + STEP])) for i in range(0, len(sample), STEP)]
+        counts = (self.first, self.second)[: 1 + (self.second > 1)]
+        self.centres = [fit_centres(np.concatenate([p[h] for p in parts]), k) for h, k in enumerate(counts)]
+
+    def _halves(self, x: np.ndarray) -> list[np.ndarray]:
+        if self.second == 1:
+            return [self.rotation(x, self.dims)]
+        both = self.rotation(x, 2 * self.dims) * np.float32(np.sqrt(2))  # each half has about the length of the vector
+        return [both[:, : self.dims], both[:, self.dims :]]
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The closest list of each vector."""
+        at = [(h @ c.T).argmax(1) for h, c in zip(self._halves(x), self.centres)]
+        return (at[0] if self.second == 1 else at[0] * self.second + at[1]).astype(np.int32)
+
+    def near(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of all lists nearly as close as the closest one; closeness to a pair is the mean of both."""
+        scores = [h @ c.T for h, c in zip(self._halves(x), self.centres)]
+        behind = [s.max(1, keepdims=True) - s for s in scores]
+        if self.second == 1:
+            row, at = np.nonzero(behind[0] <= np.float32(margin))
+            return row, at.astype(np.int32)
+        (ra, a), (rb, b) = (np.nonzero(d <= np.float32(2 * margin)) for d in behind)
+        nb = np.bincount(rb, minlength=len(x))
+        start = np.cumsum(nb) - nb
+        n = nb[ra]  # every a of a row meets every b of it
+        i = np.repeat(np.arange(len(ra)), n)
+        j = start[ra[i]] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        keep = behind[0][ra[i], a[i]] + behind[1][rb[j], b[j]] <= np.float32(2 * margin)
+        return ra[i[keep]], (a[i[keep]] * self.second + b[j[keep]]).astype(np.int32)
+
+
 def encode(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs, length, and the inner product of each vector's direction with its own code vector."""
     norm = np.linalg.norm(rotated, axis=1)
@@ -172,7 +213,8 @@ def nearest_fingerprints(
     ties to the smaller cid. queries: (id, fp), references: (cid, fp), fp an ARRAY<BIGINT> of ``width`` words.
 
     Centres are fitted on a sample bounded by 16 * max_lists references (the smallest hashes); every reference is then
-    indexed and every query asked. Lists are met in cells of about ``block`` queries by ``block`` references at most, so
+    indexed and every query asked. There is a list for each ``per_list`` references, beyond ``max_lists`` of them as pairs
+    of centres, so that lists do not grow with the collection. Lists are met in cells of about ``block`` queries by ``block`` references at most, so
     that a list holding a third of all vectors is spread over many tasks; how many cells a list needs on the query side
     is told from a sample of about 5 * max_lists queries, and only decides the spreading. The result is approximate by
     the choice of one list (recall against brute force stands in the README) and the ``sigmas`` of the error bound.
@@ -187,22 +229,20 @@ def nearest_fingerprints(
     rotation = Rotation(64 * width)
     code_dims, list_dims = min(code_dims, rotation.dim), min(list_dims, rotation.dim)
     total = r.count()
-    lists = int(min(max_lists, max(1, total // per_list)))
-    drawn = r.orderBy(F.xxhash64("key"), "key").limit(16 * lists).toArrow()
+    wanted = max(1, total // per_list)
+    drawn = r.orderBy(F.xxhash64("key"), "key").limit(16 * min(wanted, max_lists)).toArrow()
     parts = [_words(b, width)[1] for b in drawn.to_batches()]
     sample = np.concatenate(parts) if parts else np.zeros((0, width), np.uint64)
     if not len(sample):
         return queries.sparkSession.createDataFrame([], f"id {key_q}, cid {key_r}, sim double")
-    lists = min(lists, len(sample))
-    centres = fit_centres(np.concatenate([rotation(_unit(sample[i : i + STEP]), list_dims) for i in range(0, len(sample), STEP)]), lists)
+    lists = Lists(sample, rotation, wanted, max_lists, list_dims)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, words = _words(batch, width)
             for i in range(0, len(words), STEP):
                 w = words[i : i + STEP]
-                at = (rotation(_unit(w), list_dims) @ centres.T).argmax(1)
-                yield pa.RecordBatch.from_arrays([key.slice(i, len(w)), _binary(w), pa.array(at.astype(np.int32))], ["key", "fp", "list"])
+                yield pa.RecordBatch.from_arrays([key.slice(i, len(w)), _binary(w), pa.array(lists.own(_unit(w)))], ["key", "fp", "list"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,11 +250,10 @@ def nearest_fingerprints(
             for i in range(0, len(words), STEP):
                 w = words[i : i + STEP]
                 x = _unit(w)
-                near = rotation(x, list_dims) @ centres.T
-                row, at = np.nonzero(near >= near.max(1, keepdims=True) - np.float32(margin))
+                row, at = lists.near(x, margin)
                 code, norm, own = encode(rotation(x, code_dims))
                 yield pa.RecordBatch.from_arrays(
-                    [key.take(pa.array(row + i)), _binary(w[row]), pa.array(at.astype(np.int32)), _binary(code[row]), pa.array(norm[row]), pa.array(own[row])],
+                    [key.take(pa.array(row + i)), _binary(w[row]), pa.array(at), _binary(code[row]), pa.array(norm[row]), pa.array(own[row])],
                     ["key", "fp", "list", "code", "norm", "own"],
                 )
 
@@ -222,14 +261,14 @@ def nearest_fingerprints(
     placed = cut(r.mapInArrow(index, f"key {key_r}, fp binary, list int, code binary, norm float, own float"))
     every = max(1, queries.count() // (5 * max_lists))
     some = q.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).mapInArrow(ask, asked)
-    needs = lambda df, times: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) * times / block).cast("int").alias("n"))
-    # both tables have at most max_lists rows
-    sizes = needs(placed, 1).withColumnRenamed("n", "rs").join(needs(some, every).withColumnRenamed("n", "qs"), "list", "left")
-    sizes = F.broadcast(cut(sizes.select("list", "rs", F.coalesce("qs", F.lit(1)).alias("qs"))))
+    needs = lambda df, times: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) * times / block).cast("int").alias("n")).filter("n > 1")
+    # only lists that need more than one cell: one row for each ``block`` rows at most
+    sizes = cut(needs(placed, 1).withColumnRenamed("n", "rs").join(needs(some, every).withColumnRenamed("n", "qs"), "list", "full").select("list", F.coalesce("rs", F.lit(1)).alias("rs"), F.coalesce("qs", F.lit(1)).alias("qs")))
+    celled = lambda df: df.join(sizes, "list", "left").withColumns({"rs": F.coalesce("rs", F.lit(1)), "qs": F.coalesce("qs", F.lit(1))})
     part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ql = q.mapInArrow(ask, asked).join(sizes, "list").withColumn("qb", part("qs")).withColumn("rb", each("rs")).select("list", "qb", "rb", "key", "fp")
-    rl = placed.join(sizes, "list").withColumn("rb", part("rs")).withColumn("qb", each("qs")).select("list", "qb", "rb", "key", "fp", "code", "norm", "own")
+    ql = celled(q.mapInArrow(ask, asked)).withColumn("qb", part("qs")).withColumn("rb", each("rs")).select("list", "qb", "rb", "key", "fp")
+    rl = celled(placed).withColumn("rb", part("rs")).withColumn("qb", each("qs")).select("list", "qb", "rb", "key", "fp", "code", "norm", "own")
     cell = ["list", "qb", "rb"]
     found = ql.groupBy(*cell).cogroup(rl.groupBy(*cell)).applyInArrow(_best_in_cell(k, floor, width, sigmas, rotation, code_dims), f"id {key_q}, cid {key_r}, sim double")
     best = found.groupBy("id", "cid").agg(F.max("sim").alias("sim"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from orrery.llm.mixing import mix_sources, virtual_horizon
-from orrery.llm.vectors import Rotation, _unit, encode, estimate, nearest_fingerprints
+from orrery.llm.vectors import Lists, Rotation, _unit, encode, estimate, nearest_fingerprints
 
 
 def crowd(seed, n, scaffolds=12):
@@ -36,6 +36,20 @@ def test_recall(spark, block):
     assert len(want) > 1000 and len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+def test_lists_of_pairs(spark):
+    """More lists than centres: each is a pair of centres, and the recall stays."""
+    q, r = crowd(2, 400), crowd(3, 1500)
+    want = brute(q, r)
+    qs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "id bigint, fp array<bigint>")
+    rs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r)], "cid bigint, fp array<bigint>")
+    got = {(x.id, x.cid) for x in nearest_fingerprints(qs, rs, max_lists=12, per_list=30, block=256).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+    x = _unit(r)
+    lists = Lists(r[:192], Rotation(2048), 50, 12, 256)
+    row, at = lists.near(x, 0.1)
+    assert (lists.first, lists.second) == (12, 5) and set(zip(range(len(x)), lists.own(x).tolist())) <= set(zip(row.tolist(), at.tolist()))
+
+
 def test_bounds_hold():
     words = crowd(4, 300)
     rotation = Rotation(2048)

@@ -712,7 +712,9 @@ def json_props(spark, d):
     return table(spark, d, "events").groupBy("event_type", F.coalesce(k, F.lit("none")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""with recursive g as (select origin_key as grp, count(*) as n, row_number() over (order by count(*) desc, origin_key) as i from documents where origin_key is not null group by origin_key),
+l as (select 0.8::double * sum(n) as most from g), f as (select 0::bigint as i, 0::bigint as used, null::varchar as grp, 0::bigint as n, false as in_train
+union all select g.i, case when f.used + g.n <= l.most then f.used + g.n else f.used end, g.grp, g.n, f.used + g.n <= l.most from f join g on g.i = f.i + 1, l) select grp, n, in_train from f where i > 0""")
 def group_split(spark, d):
     """Whole groups to train, largest first, while they fit into 80 %. Equal sizes fit alike, so only the table of
     different sizes (at most sqrt(2 rows) of them) is folded on the driver."""

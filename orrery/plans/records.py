@@ -118,6 +118,14 @@ def kept_ids_semi(spark, d):
     return table(spark, d, "documents").select("doc_id", "origin_key").join(kept, "origin_key", "left_semi").select("doc_id")
 
 
+@query("select cid, count(*) as n_named, count(distinct upper(trim(k))) as n_different from (select cid, unnest(pat_nums) as k from validate_patent_text_support where cid in (select pid from compound_predictions where confidence >= 0.9 and not isnan(confidence))) where k is not null group by cid")
+def lists_of_kept_ids(spark, d):
+    """Rows are kept by their key before their lists are read."""
+    kept = table(spark, d, "compound_predictions").filter("confidence >= 0.9D and not isnan(confidence)").select(F.col("pid").alias("cid")).distinct()
+    t = table(spark, d, "validate_patent_text_support").join(kept, "cid", "left_semi").select("cid", F.explode("pat_nums").alias("k")).filter("k is not null")
+    return t.groupBy("cid").agg(F.count(F.lit(1)).alias("n_named"), F.countDistinct(F.upper(F.trim("k"))).alias("n_different"))
+
+
 @query("""with h as (select gene, min(acc) as human from targets where org like '%Homo sapiens%' and gene is not null group by gene)
 select acc, coalesce(case when org like '%Homo sapiens%' then acc end, human, acc) as human_acc from targets left join h using (gene)""")
 def ortholog_to_human(spark, d):

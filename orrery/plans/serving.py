@@ -110,3 +110,15 @@ def resume_by_key(spark, d):
 def contiguous_link_counts(spark, d):
     """Links of every item, streamed by in order with the state of one item."""
     return contiguous_groups(_links(spark, d).join(_records(spark, d), "record", "left"), "item", "date")
+
+
+@query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from events group by user_id")
+def stream_upserts(spark, d):
+    """A stream of events into a store that holds each user's newest one, which a second run finds done."""
+    from orrery.streaming.incremental import current_rows, events_stream, upsert_batches
+
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    for _run in range(2):
+        stream = events_stream(spark, d).filter("user_id is not null").select("user_id", "event_id", "event_type", "value")
+        upsert_batches(stream, "user_id", "event_id", f"{path}/rows", f"{path}/checkpoint", 8).awaitTermination()
+    return current_rows(spark, f"{path}/rows").select("user_id", "event_id", "event_type", "value")

@@ -28,7 +28,8 @@ def upsert_batches(stream: DataFrame, key: str, version: str, base: str, checkpo
     repeated batch changes nothing. ``current_rows`` reads the store.
 
     The store is cut into ``buckets`` by the key; a batch writes new versions of only those buckets that it touches, each
-    bucket's folder bearing the number of the batch, so that what readers see is never overwritten.
+    bucket's folder bearing the number of the batch, so that what readers see is never overwritten. Numbers belong to the
+    checkpoint: a store keeps one and the same for life.
     """
     spark = stream.sparkSession
 

@@ -77,15 +77,18 @@ class ItemIndex:
         starts = np.flatnonzero(np.diff(term * (self.n // block + 1) + item // block, prepend=-1))
         size = np.diff(np.r_[starts, len(term)])
         self.block_tops = np.repeat(np.maximum.reduceat(self.weights, starts), size) if len(starts) else self.weights
+        self.starts = np.searchsorted(self.keys, np.arange(self.none + 1) * self.n)  # of each term's postings
         self.tops = np.zeros(self.none + 1, np.float32)
         np.maximum.at(self.tops, term, self.weights)
 
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.keys, self.weights, self.block_tops, self.tops, self.marks))
+        return sum(x.nbytes for x in (self.keys, self.weights, self.block_tops, self.starts, self.tops, self.marks))
 
     def _seek(self, terms: np.ndarray, item: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         """(place in the postings, item) of each term's first posting at or after ``item``; item n if there is none."""
-        at = np.searchsorted(self.keys, terms * self.n + item)
+        return self._at(terms, np.searchsorted(self.keys, terms * self.n + item))
+
+    def _at(self, terms: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = self.keys[np.minimum(at, len(self.keys) - 1)]
         return at, np.where((at < len(self.keys)) & (key < (terms + 1) * self.n), key - terms * self.n, self.n)
 
@@ -97,7 +100,7 @@ class ItemIndex:
         out_p, out_i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         p = np.flatnonzero(self.tops[terms].sum(1) >= SLACK)
         t, last = terms[p], len(self.keys) - 1
-        pos, cur = self._seek(t, 0)
+        pos, cur = self._at(t, self.starts[t])
         while len(p):
             order = np.argsort(cur, axis=1, kind="stable")
             t, pos, cur = (np.take_along_axis(x, order, 1) for x in (t, pos, cur))
@@ -121,7 +124,10 @@ class ItemIndex:
             target = np.where(level, pivot[:, 0] + 1, np.where(good, pivot[:, 0], behind))
             move = cur[x, y] < target[x]
             x, y = x[move], y[move]
-            pos[x, y], cur[x, y] = self._seek(t[x, y], target[x])
+            one = cur[x, y] + 1 == target[x]  # from a posting to the one after it no search is needed
+            step, far = (x[one], y[one]), (x[~one], y[~one])
+            pos[step], cur[step] = self._at(t[step], pos[step] + 1)
+            pos[far], cur[far] = self._seek(t[far], target[far[0]])
         return np.concatenate(out_p), np.concatenate(out_i)
 
 

@@ -72,17 +72,35 @@ def list_hash(*parts: Column | tuple[Column]) -> Column:
     return F.sha2(F.concat(*text), 256)
 
 
-# What an ordered search for parts of a class path says, and the order in which families win.
-FAMILIES = (("kinase", "Kinase"), ("receptor", "Receptor"), ("transporter", "Transporter"), ("channel", "Ion channel"), ("protease", "Protease"), ("phosphatase", "Phosphatase"))
-
-
-def family(path: Column) -> Column:
-    """The first family whose word stands in the path; 'Other' without one."""
-    low = F.lower(path)
-    out = F.when(low.contains(FAMILIES[0][0]), FAMILIES[0][1])
-    for word, name in FAMILIES[1:]:
-        out = out.when(low.contains(word), name)
-    return out.otherwise("Other")
+# Parts of protein class paths and the family each stands for; the first one found counts, and the order is
+# also that in which families win where several targets share a gene.
+FAMILIES = (
+    ("/Enzyme/Kinase", "Kinase"),
+    ("/Enzyme/Protease", "Protease"),
+    ("G protein-coupled receptor", "GPCR"),
+    ("/Ion channel", "Ion channel"),
+    ("/Transcription factor/Nuclear receptor", "Nuclear receptor"),
+    ("/Transporter", "Transporter"),
+    ("/Epigenetic regulator", "Epigenetic regulator"),
+    ("/Membrane receptor", "Membrane receptor (other)"),
+    ("/Enzyme", "Other enzyme"),
+    ("/Transcription factor", "Transcription factor (other)"),
+)
+CLASSIFIED, UNCLASSIFIED = "Other (classified)", "Other/unclassified"
+
+
+def family_place(paths: Column) -> Column:
+    """The place in the order of families (from 0) of a target with these class paths; no path, or one that says
+    'Unclassified', comes last."""
+    every = F.coalesce(F.array_join(paths, " ;; "), F.lit(""))
+    found = F.array_position(F.array(*[every.contains(part) for part, _name in FAMILIES]), True)
+    other = F.when((every != "") & ~every.contains("Unclassified"), len(FAMILIES)).otherwise(len(FAMILIES) + 1)
+    return F.when(found > 0, found - 1).otherwise(other).cast("int")
+
+
+def family_name(place: Column) -> Column:
+    names = [*(name for _part, name in FAMILIES), CLASSIFIED, UNCLASSIFIED]
+    return F.element_at(F.array(*map(F.lit, names)), place + 1)
 
 
 def turned(templates: list[str], number: Column, value: Column) -> Column:

@@ -436,10 +436,29 @@ def shortened_claims(spark, d):
     return t.select("patent_number", F.md5(R.first_claims(F.split("description", "\n"))).alias("claims_md5"), F.md5(R.shortened(F.col("description"), 1000)).alias("short_md5"))
 
 
-@query("""select acc, case when lower(target_name) like '%kinase%' then 'Kinase' when lower(target_name) like '%receptor%' then 'Receptor' when lower(target_name) like '%transporter%' then 'Transporter' when lower(target_name) like '%channel%' then 'Ion channel'
-when lower(target_name) like '%protease%' then 'Protease' when lower(target_name) like '%phosphatase%' then 'Phosphatase' else 'Other' end as family from targets""")
+# class paths that targets are given by the hash of their accession
+_PATHS = [f"protein class{p}" for p in ("/Enzyme/Kinase/Protein Kinase", "/Enzyme/Protease", "/Membrane receptor/Family A G protein-coupled receptor", "/Ion channel/Ligand-gated", "/Transcription factor/Nuclear receptor", "/Transporter/Electrochemical", "/Epigenetic regulator/Eraser", "/Membrane receptor", "/Enzyme/Hydrolase", "/Transcription factor", "/Adhesion", "/Unclassified protein")]
+_PATH_SQL = "[" + ", ".join(f"'{p}'" for p in _PATHS) + "]"
+_FAMILY = f"""pth as (select acc, gene, case when length(acc) % 2 = 1 then '' else array_to_string([{_PATH_SQL}[h % 12 + 1], {_PATH_SQL}[h % 5 + 1]], ' ;; ') end as p from (select acc, gene, ('0x' || substr(md5(acc), 1, 8))::bigint as h from targets)),
+fam as (select acc, gene, case """ + " ".join(f"when contains(p, '{part}') then {i}" for i, (part, _n) in enumerate(R.FAMILIES)) + f" when p <> '' and not contains(p, 'Unclassified') then {len(R.FAMILIES)} else {len(R.FAMILIES) + 1} end as place from pth), nm as (select [" + ", ".join(f"'{n}'" for n in [*(n for _p, n in R.FAMILIES), R.CLASSIFIED, R.UNCLASSIFIED]) + "] as names)"
+
+
+def _families(spark, d) -> DataFrame:
+    h = F.conv(F.substring(F.md5("acc"), 1, 8), 16, 10).cast("bigint")
+    pick = lambda n: F.element_at(F.array(*map(F.lit, _PATHS)), (h % n + 1).cast("int"))
+    paths = F.when(F.length("acc") % 2 == 0, F.array(pick(12), pick(5)))
+    return table(spark, d, "targets").select("acc", "gene", R.family_place(paths).alias("place"))
+
+
+@query(f"with {_FAMILY} select acc, names[place + 1] as family from fam, nm")
 def protein_family(spark, d):
-    return table(spark, d, "targets").select("acc", R.family(F.col("target_name")).alias("family"))
+    return _families(spark, d).select("acc", R.family_name(F.col("place")).alias("family"))
+
+
+@query(f"with {_FAMILY} select gene, names[min(place) + 1] as family from fam, nm where gene is not null group by gene, names")
+def class_priority(spark, d):
+    """One family a gene, the first in their order among its targets."""
+    return _families(spark, d).filter("gene is not null").groupBy("gene").agg(R.family_name(F.min("place")).alias("family"))
 
 
 @query("select id, case id % 3 when 0 then 'What does ' || surechembl_id || ' bind?' when 1 then 'Which patents name ' || surechembl_id || '?' else 'What resembles ' || surechembl_id || '?' end as question from patent_compounds")

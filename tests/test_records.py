@@ -25,7 +25,8 @@ def test_texts_and_numbers(spark):
     assert one(spark, ["I20240131-r1.zip", "x20241399", "no", None], "string", R.compact_date) == [datetime.date(2024, 1, 31), None, None, None]
     assert one(spark, ['{"a":"20240131","b":[{"c":"19991231"},{"d":"20240131"}],"n":"20249999"}', "{}", None], "string", R.all_dates) == [[datetime.date(1999, 12, 31), datetime.date(2024, 1, 31)], [], None]
     assert one(spark, [["a", "b", "c", "d"], ["x" * 3000], [], None], "array<string>", R.first_claims) == ["a b c", "x" * 2000 + "...", "", None]
-    assert one(spark, ["Tyrosine Kinase receptor", "Odd", None], "string", R.family) == ["Kinase", "Other", "Other"]
+    paths = [["x/Enzyme/Hydrolase", "x/Ion channel"], ["x/Adhesion"], ["x/Unclassified protein"], [], None]
+    assert one(spark, paths, "array<string>", lambda c: R.family_name(R.family_place(c))) == ["Ion channel", R.CLASSIFIED, *[R.UNCLASSIFIED] * 3]
 
 
 def test_small_vectors(spark):

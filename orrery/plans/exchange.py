@@ -67,6 +67,15 @@ def read_wrapped_json(spark, d):
     return out.select("nct_id", "brief_title", F.md5("brief_summary").alias("summary_md5"), "enrollment", n.alias("n_conditions"))
 
 
+@query(f"select nct_id, md5(brief_summary) as summary_md5, enrollment from {TRI}")
+def read_json_array_stream(spark, d):
+    """The same kind of file, row by row."""
+    path = scratch(spark)
+    writers.wrapped_json(_newest(spark, d, "trials", "nct_id").select("nct_id", "brief_summary", "enrollment"), path, "trials", "nct_id", 100_000)
+    out = readers.json_array_stream(spark, path, "trials", "nct_id string, brief_summary string, enrollment int")
+    return out.select("nct_id", F.md5("brief_summary").alias("summary_md5"), "enrollment")
+
+
 @query("select doc_id, source, md5(text) as text_md5 from documents where length(text) > 0")
 def read_json_shards(spark, d):
     """Shards of JSON lines; rows with empty text are skipped in reading."""

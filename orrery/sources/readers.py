@@ -186,3 +186,87 @@ def npz_matrix(files: DataFrame, name: str = "vectors", keys: str = "ids") -> Da
 def merged_settings(base: dict, over: dict) -> dict:
     """``base`` with the values of ``over``: mappings are merged at every depth, everything else is replaced."""
     return base | {k: merged_settings(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
+
+
+def _array_items(read, field: str | None, size: int):
+    """The texts of the items of a JSON array, read in pieces by ``read(n)``: the array that is the whole document, else the
+    value of ``field`` of an object on the outermost level. Only one item, and a piece, is held."""
+    import codecs
+    import json
+
+    decoder, utf8 = json.JSONDecoder(), codecs.getincrementaldecoder("utf-8-sig")()
+    between = re.compile(r"[ \t\r\n,:]*")
+    text, at, ended = "", 0, False
+
+    def more() -> bool:
+        nonlocal text, at, ended
+        if ended:
+            return False
+        piece = read(size)
+        ended = not piece
+        text, at = text[at:] + utf8.decode(piece, ended), 0
+        return not ended
+
+    def ahead() -> str:
+        """The next character that says something, which is not consumed; '' at the end."""
+        nonlocal at
+        while True:
+            at = between.match(text, at).end()
+            if at < len(text) or not more():
+                return text[at : at + 1]
+
+    def value() -> tuple:
+        """The next value and its text; more is read until the value ends before what was read does."""
+        nonlocal at
+        ahead()
+        while True:
+            try:
+                out, end = decoder.raw_decode(text, at)
+                # a number may go on behind what looks like its end
+                if text[end : end + 1] in tuple(" \t\r\n,:]}") or not more():
+                    item, at = text[at:end], end
+                    return out, item
+            except json.JSONDecodeError:
+                if not more():
+                    raise
+
+    if ahead() == "{":
+        at += 1
+        while ahead() not in ("}", "") and value()[0] != field:
+            value()  # of another field
+    if ahead() != "[":
+        return
+    at += 1
+    while (c := ahead()) != "]":
+        if not c:
+            raise ValueError("the array does not end")
+        yield value()[1]
+
+
+def json_array_stream(spark: SparkSession, path: str, field: str, schema: str, piece: int = 1 << 20) -> DataFrame:
+    """Rows of {"field": [row, ...]} or of a bare array, as ``wrapped_json``, but a file is read piece by piece and its rows
+    pass by one at a time, so a file may be larger than memory. Files that hold neither give no rows; a broken one raises.
+    Every executor must be able to open the files; those of one folder are read side by side."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().toString() for x in fs.globStatus(root) or [] for x in (fs.listStatus(x.getPath()) if x.isDirectory() else [x])]
+    files = spark.createDataFrame([(n,) for n in names if n.rsplit("/", 1)[1][0] not in "._"], "file string").repartition(max(1, len(names)))
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                system, where = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", name))
+                with system.open_input_stream(where) as f:
+                    rows = []
+                    for item in _array_items(f.read, field, piece):
+                        rows.append(item)
+                        if len(rows) == 1000:
+                            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
+                            rows = []
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
+
+    return files.mapInArrow(run, "value string").select(F.from_json("value", f"struct<{schema}>").alias("x")).select("x.*")

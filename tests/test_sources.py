@@ -31,6 +31,22 @@ def test_readers(spark, tmp_path):
     assert good.collect() == [("CC", 1.0)] and counts.collect() == [(3, 2)]
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_array_items_in_pieces(size):
+    import io
+    import json
+
+    def items(text):
+        return [json.loads(x) for x in readers._array_items(io.BytesIO(text.encode()).read, "rows", size)]
+
+    rows = [{"a": "é ] } " + chr(92) + '" ,', "b": [1, {"c": None}]}, 12, 1.5e3, "x", [], True]
+    assert items(json.dumps(rows, ensure_ascii=False)) == rows
+    assert items(' { "n": 7, "other": [{"rows": [1]}], "rows" : ' + json.dumps(rows, indent=1) + ', "z": 1}') == rows
+    assert items("[]") == items('{"rows": []}') == items("  ") == items("7") == []
+    with pytest.raises(ValueError):
+        items('[{"a": 1}, {"b"')
+
+
 def test_articles(spark, tmp_path):
     xml = "<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version='1'>7</PMID><Article><ArticleTitle>T</ArticleTitle><Abstract><AbstractText Label='A'>one</AbstractText><AbstractText Label='B'>two</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle><PubmedArticle><MedlineCitation><PMID Version='1'>8</PMID><Article><ArticleTitle>U</ArticleTitle></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>"
     assert [tuple(r) for r in readers.articles_xml(spark, put(tmp_path / "a.xml", xml)).collect()] == [("7", "T", "one two")]

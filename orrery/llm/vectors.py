@@ -262,8 +262,10 @@ def nearest_fingerprints(
     every = max(1, queries.count() // (5 * max_lists))
     some = q.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).mapInArrow(ask, asked)
     needs = lambda df, times: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) * times / block).cast("int").alias("n")).filter("n > 1")
-    # only lists that need more than one cell: one row for each ``block`` rows at most
+    # only lists that need more than one cell: one row for each ``block`` rows at most, broadcast up to 500 000 of them
     sizes = cut(needs(placed, 1).withColumnRenamed("n", "rs").join(needs(some, every).withColumnRenamed("n", "qs"), "list", "full").select("list", F.coalesce("rs", F.lit(1)).alias("rs"), F.coalesce("qs", F.lit(1)).alias("qs")))
+    if sizes.count() <= 500_000:
+        sizes = F.broadcast(sizes)
     celled = lambda df: df.join(sizes, "list", "left").withColumns({"rs": F.coalesce("rs", F.lit(1)), "qs": F.coalesce("qs", F.lit(1))})
     part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -28,7 +28,7 @@ E Е Ε -
 F - Ϝ -
 G Ԍ - -
 H Н Η -
-I І Ι -
+I ІӀ Ι -
 J Ј Ϳ -
 K К Κ -
 M М Μ -

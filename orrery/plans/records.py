@@ -474,12 +474,12 @@ def file_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", R.compact_date(name).alias("day"))
 
 
-@query("select o_orderkey, list_sort([o_orderdate::date, (o_orderdate + interval 30 day)::date]) as days from orders")
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ';' || strftime(o_orderdate + interval 30 day, '%Y-%m-%d') as days from orders")
 def nested_dates(spark, d):
     """All dates of a nested JSON text, wherever they stand."""
     a, b = F.date_format("o_orderdate", "yyyyMMdd"), F.date_format(F.date_add("o_orderdate", 30), "yyyyMMdd")
     text = F.to_json(F.struct(F.struct(b.alias("date"), F.lit("12345678x").alias("no")).alias("doc"), F.array(F.struct(a.alias("d")), F.struct(b.alias("d"))).alias("rest")))
-    return table(spark, d, "orders").select("o_orderkey", R.all_dates(text).alias("days"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(R.all_dates(text).cast("array<string>"), ";").alias("days"))
 
 
 _SHA63 = "(('0x' || substr(sha256({0}), 1, 16))::ubigint & 9223372036854775807)::bigint"
@@ -528,24 +528,24 @@ def log_ratio(spark, d):
     return both.filter("a is not null and b is not null").select("user_id", F.round(F.col("a") - F.col("b"), 6).alias("ratio"))
 
 
-@query("select vec_id, list_transform(range(0, 8), lambda j: round(list_sum(list_transform(range(1, 7), lambda k: embedding[k * 8 + j + 1]::double)) / 6, 5)) as pooled from embeddings")
+@query("select vec_id, j as pos, round(list_sum(list_transform(range(1, 7), lambda k: embedding[k * 8 + j + 1]::double)) / 6, 5) as mean from embeddings, range(0, 8) t(j)")
 def mean_pooled(spark, d):
     """Eight token vectors in one row, pooled without the first and last."""
     tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, F.lit(8)))
-    return table(spark, d, "embeddings").select("vec_id", F.transform(R.mean_pool(tokens, 8), lambda x: F.round(x, 5)).alias("pooled"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(R.mean_pool(tokens, 8)).alias("pos", "x")).select("vec_id", *_long("pos"), F.round("x", 5).alias("mean"))
 
 
 @query("""with s as (select acc, md5(acc) as s from targets), g as (select acc, string_split(s, '') || list_transform(range(1, length(s)), lambda i: substr(s, i, 2)) as g from s),
 c as (select acc, list_transform(['a', 'b', 'aa', 'ab', 'ba', 'bb'], lambda k: len(list_filter(g, lambda x: x = k))::double) as c from g), m as (select acc, list_transform(c, lambda x: x - list_sum(c) / 6) as m from c)
-select acc, list_transform(m, lambda x: round(case when list_sum(list_transform(m, lambda y: y * y)) > 0 then x / sqrt(list_sum(list_transform(m, lambda y: y * y))) else x end, 6) + 0.0::double) as v from m""")
+select acc, i - 1 as pos, round(case when list_sum(list_transform(m, lambda y: y * y)) > 0 then m[i] / sqrt(list_sum(list_transform(m, lambda y: y * y))) else m[i] end, 6) + 0.0::double as v from m, range(1, 7) t(i)""")
 def kmer_vectors(spark, d):
-    return table(spark, d, "targets").select("acc", F.transform(R.kmer_counts(F.md5("acc"), "ab"), lambda x: F.round(x, 6) + F.lit(0.0)).alias("v"))
+    return table(spark, d, "targets").select("acc", F.posexplode(R.kmer_counts(F.md5("acc"), "ab")).alias("pos", "x")).select("acc", *_long("pos"), (F.round("x", 6) + F.lit(0.0)).alias("v"))
 
 
-@query("select doc_id, list_transform(range(0, 16), lambda i: len(list_filter(w, lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % 16 = i))::double) as v from (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') as w from documents)")
+@query("select doc_id, i as pos, len(list_filter(w, lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % 16 = i))::double as v from range(0, 16) t(i), (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') as w from documents)")
 def word_vectors(spark, d):
     """A stand-in for a text encoder: counts of words by hash."""
-    return table(spark, d, "documents").select("doc_id", R.word_vector(F.col("text"), 16).alias("v"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(R.word_vector(F.col("text"), 16)).alias("pos", "v")).select("doc_id", *_long("pos"), "v")
 
 
 # ---- texts beside predictions -----------------------------------------------------------------------------------------

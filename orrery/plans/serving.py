@@ -76,12 +76,12 @@ def engine_predict_known(spark, d):
     return out.select("label", "gene", "conf", *_long("support"), "known")
 
 
-@query(f"""with {_LIG} select rid as id, round(sim, 4) as score, list_filter([(q.qid % 7)::varchar, (q.qid % 5)::varchar], lambda g: list_contains([(rid % 7)::varchar, (rid % 5)::varchar], g)) as shared from nb, q where rid <> q.qid order by rk limit 8""")
+@query(f"""with {_LIG} select rid as id, round(sim, 4) as score, array_to_string(list_filter([(q.qid % 7)::varchar, (q.qid % 5)::varchar], lambda g: list_contains([(rid % 7)::varchar, (rid % 5)::varchar], g)), ';') as shared from nb, q where rid <> q.qid order by rk limit 8""")
 def engine_similar(spark, d):
     """The nearest rows of a stored one, with what they share with it, in its own order."""
     e = _engine(spark, d)
     first = e._collection("ligands").rows.agg(F.min("id")).first()[0]
-    return e.similar("ligands", id=first, limit=8, labels="groups").select("id", "score", "shared")
+    return e.similar("ligands", id=first, limit=8, labels="groups").select("id", "score", F.array_join("shared", ";").alias("shared"))
 
 
 @query("select count(*) as n_rows, sum(id)::bigint as id_sum, true as resumed from patent_compounds")

@@ -6,7 +6,7 @@ import datetime
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators.delta import compare_state, upsert
@@ -48,6 +48,12 @@ def run_mode(last_run: datetime.date | None, today: datetime.date, has_output: b
     return "skip" if (today - last_run).days < every_days else "update"
 
 
+def run_mode_of(last_run: Column, today: Column, has_output: Column, every_days: int = 1) -> Column:
+    """``run_mode`` for every row."""
+    fresh = last_run.isNull() | ~F.coalesce(has_output, F.lit(False))
+    return F.when(fresh, "fresh").when(F.datediff(today, last_run) < every_days, "skip").otherwise("update")
+
+
 def with_retry(action: Callable, attempts: int = 5, first_wait: float = 1.0, retry: tuple = (OSError,)):
     """The result of ``action``, tried again after growing waits if one of ``retry`` is raised; the last one is passed on."""
     for i in range(attempts):

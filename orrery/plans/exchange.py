@@ -8,7 +8,7 @@ import uuid
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.operators import state
@@ -339,3 +339,12 @@ def ledger_merge(spark, d):
     """One entry a file out of many runs' ledgers, the latest."""
     t = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("file"), (F.col("o_orderkey") % 97).alias("n_rows"), (F.col("o_orderkey") % 97).alias("finished_at"))
     return state.merge_ledger(t.filter("n_rows % 2 = 0"), t.filter("n_rows % 2 = 1"))
+
+
+@query("""with l as (select distinct loaded_at::date as day from patents), g as (select day, lag(day) over (order by day) as last_run from l)
+select day, case when last_run is null then 'fresh' when date_diff('day', last_run, day) < 7 then 'skip' else 'update' end as mode from g""")
+def run_modes(spark, d):
+    """What a run on each loading day has to do, when it is to work once a week."""
+    days = table(spark, d, "patents").select(F.col("loaded_at").cast("date").alias("day")).filter("day is not null").distinct()
+    last = F.lag("day").over(Window.orderBy("day"))  # a calendar
+    return days.withColumn("last_run", last).select("day", state.run_mode_of(F.col("last_run"), F.col("day"), F.lit(True), 7).alias("mode"))

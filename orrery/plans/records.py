@@ -182,6 +182,16 @@ def numbered_id_join(spark, d):
     return t.join(n, "pid").select("surechembl_id", "n")
 
 
+@query("""with e as (select distinct l_partkey, l_suppkey from lineitem), c as (select * from e qualify row_number() over (partition by l_partkey order by l_suppkey) <= 3)
+select p_brand, n_name, count(*) as n from c join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by all""")
+def chain_with_cap(spark, d):
+    """A chain of joins whose first hop follows at most three edges of each row."""
+    edges = transfer.rank_within(table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct(), "l_partkey", F.col("l_suppkey")).filter("rk <= 3")
+    place = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return edges.join(place, "l_suppkey").join(parts, "l_partkey").groupBy("p_brand", "n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- measures -----------------------------------------------------------------------------------------------------------
 
 _PER_ACC = f"{LATEST}, {TRUTH}, g as (select acc, count(*) as n, count(tv.acc) as k from pr left join tv using (pid, acc) group by acc)"
@@ -551,7 +561,7 @@ def word_vectors(spark, d):
 # ---- texts beside predictions -----------------------------------------------------------------------------------------
 
 # Document and target vectors: rows of embeddings, taken by the number of the patent and of the target.
-SUPPORT = """ne as (select count(*) as n from embeddings), dv as (select patent_number as doc, pd.date, embedding as v from (select patent_number, id, max(publication_date) as date from patents where release_version = (select max(release_version) from patents) and description is not null group by patent_number, id) pd, ne join embeddings on vec_id = pd.id % ne.n),
+SUPPORT = """ne as (select count(*) as n from embeddings), dv as (select patent_number as doc, pd.id, pd.date, embedding as v from (select patent_number, id, max(publication_date) as date from patents where release_version = (select max(release_version) from patents) and description is not null group by patent_number, id) pd, ne join embeddings on vec_id = pd.id % ne.n),
 tx as (select acc, embedding as v from (select acc, row_number() over (order by acc) - 1 as i from targets), ne join embeddings on vec_id = (i * 13 + 5) % ne.n),
 it as (select distinct cid, upper(trim(p)) as doc from (select cid, unnest(pat_nums) as p from validate_patent_text_support where cid % 50 = 0) where trim(p) <> ''),
 quiet as (select cid from it group by cid having count(*) <= 40), ld as (select cid, doc from (select it.*, row_number() over (partition by cid order by date desc nulls last, doc) as rn from it join quiet using (cid) join dv using (doc)) where rn <= 50),
@@ -560,29 +570,49 @@ sim as (select dv.doc, tx.acc, round(list_dot_product(dv.v::double[], tx.v::doub
 rnk as (select doc, acc, row_number() over (partition by doc order by round(s - b, 6) desc, acc) as rk from sim join bg using (acc))"""
 
 
-@query(f"""with {SUPPORT} select want.cid, want.acc, min(rk) as best_rank, case when min(rk) <= 10 and max(conf) >= 0.5 then 'confirms' when min(rk) > 50 then 'suggests_other' else 'weak' end as verdict
-from want join ld using (cid) join rnk using (doc, acc) group by want.cid, want.acc""")
-def patent_text_support(spark, d):
-    """Per compound and predicted target the best place that the target has among all targets in any of the compound's
-    newest fifty patents with full text, by the vectors' inner product less the target's mean over other texts. Compounds
-    with more than forty patents say nothing and are left out."""
+def _text_vectors(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All vectors (vec_id, v), those of patents with full text (doc, date, v) and those of targets (acc, v)."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     n = e.count()
     p = table(spark, d, "patents")
     newest = p.agg(F.max("release_version")).first()[0]
     full = p.filter((F.col("release_version") == F.lit(newest)) & F.col("description").isNotNull()).groupBy(F.col("patent_number").alias("doc"), "id").agg(F.max("publication_date").alias("date"))
-    docs = full.withColumn("vec_id", F.col("id") % n).join(e, "vec_id").select("doc", "date", "v")
+    docs = full.withColumn("vec_id", F.col("id") % n).join(e, "vec_id").select("doc", "id", "date", "v")
     targets = running_number(table(spark, d, "targets").select("acc"), ["acc"], "i").withColumn("vec_id", (F.col("i") * 13 + 5) % n).join(e, "vec_id").select("acc", "v")
+    return e, docs, targets
+
+
+def _biased(e: DataFrame, targets: DataFrame) -> DataFrame:
+    """(acc, v, mean): targets with their mean product with the texts of the background."""
+    background = e.filter("vec_id % 50 = 0").select(F.concat(F.lit("#"), F.col("vec_id").cast("string")).alias("id"), "v")
+    bias = simjoin.mean_similarity(background, targets, measure="dot", digits=6)
+    return targets.join(bias.withColumnRenamed("rid", "acc"), "acc").select("acc", "v", "mean")
+
+
+@query(f"with {SUPPORT.replace('where doc in (select doc from ld)', 'where id % 50 = 0')} select doc, acc, rk from rnk where rk <= 3")
+def top_targets_per_text(spark, d):
+    """The three best targets of all for each text of the stated set, ids divisible by 50."""
+    e, docs, targets = _text_vectors(spark, d)
+    asked = docs.filter("id % 50 = 0").select("doc", "v")
+    near = simjoin.nearest(asked, _biased(e, targets), 3, floor=-1e300, measure="dot", digits=6, less="mean")
+    return near.select(F.col("qid").alias("doc"), F.col("rid").alias("acc"), *_long("rk"))
+
+
+@query(f"""with {SUPPORT} select want.cid, want.acc, min(rk) as best_rank, case when min(rk) <= 10 and max(conf) >= 0.5 then 'confirms' when min(rk) > 50 then 'suggests_other' else 'weak' end as verdict
+from want join ld using (cid) join rnk using (doc, acc) group by want.cid, want.acc""")
+def patent_text_support(spark, d):
+    """Per compound and predicted target the best place that the target has among all targets in any of the compound's
+    newest fifty patents with full text, by the vectors' inner product less the target's mean over other texts. Compounds
+    with more than forty patents say nothing and are left out."""
+    e, docs, targets = _text_vectors(spark, d)
     t = table(spark, d, "validate_patent_text_support").filter("cid % 50 = 0")  # the stated set of queries
     items = t.select("cid", F.explode("pat_nums").alias("x")).select("cid", F.upper(F.trim("x")).alias("doc")).filter("doc <> ''").distinct()
     quiet = items.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).filter("n <= 40").select("cid")
     linked = cut(transfer.rank_within(items.join(quiet, "cid").join(docs.select("doc", "date"), "doc"), "cid", F.col("date").desc_nulls_last(), F.col("doc")).filter("rk <= 50").select("cid", "doc"))
     want = t.select("cid", F.explode(F.arrays_zip("pred_accs", "pred_confs")).alias("x")).select("cid", F.upper(F.trim("x.pred_accs")).alias("acc"), F.col("x.pred_confs").alias("conf"))
     want = want.filter("acc <> ''").groupBy("cid", "acc").agg(F.max("conf").alias("conf")).join(targets.select("acc"), "acc", "left_semi")
-    bias = simjoin.mean_similarity(e.filter("vec_id % 50 = 0").select(F.concat(F.lit("#"), F.col("vec_id").cast("string")).alias("id"), "v"), targets, measure="dot", digits=6)
-    biased = targets.join(bias.withColumnRenamed("rid", "acc"), "acc").select("acc", "v", "mean")
     asked = linked.join(want, "cid").select("doc", "acc").distinct()
-    ranks = simjoin.ranks_of(docs.select("doc", "v"), biased, asked, measure="dot", digits=6, less="mean")
+    ranks = simjoin.ranks_of(docs.select("doc", "v"), _biased(e, targets), asked, measure="dot", digits=6, less="mean")
     best = want.join(linked, "cid").join(ranks.toDF("doc", "acc", "rk"), ["doc", "acc"]).groupBy("cid", "acc").agg(F.min("rk").alias("best_rank"), F.max("conf").alias("conf"))
     verdict = F.when((F.col("best_rank") <= 10) & (F.col("conf") >= 0.5), "confirms").when(F.col("best_rank") > 50, "suggests_other").otherwise("weak")
     return best.select("cid", "acc", "best_rank", verdict.alias("verdict"))

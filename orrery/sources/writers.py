@@ -69,7 +69,7 @@ def wrapped_json(df: DataFrame, path: str, field: str, key: str, rows: int = 100
     asks for it, the number of rows bounds it."""
     shards = max(1, -(-df.count() // rows))
     packed = df.groupBy(F.pmod(F.xxhash64(key), F.lit(shards)).alias("_s")).agg(F.collect_list(F.struct(*df.columns)).alias(field))
-    packed.select(F.to_json(F.struct(field), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(path)
+    packed.select(F.to_json(F.struct(field), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)  # one object a file
 
 
 def label_maps(df: DataFrame, path: str, key: str, label: str, keys: int = 10_000) -> None:
@@ -77,7 +77,7 @@ def label_maps(df: DataFrame, path: str, key: str, label: str, keys: int = 10_00
     lists = df.groupBy(F.col(key).cast("string").alias("_k")).agg(F.array_sort(F.collect_set(label)).alias("_l"))
     shards = max(1, -(-lists.count() // keys))
     packed = lists.groupBy(F.pmod(F.xxhash64("_k"), F.lit(shards)).alias("_s")).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_l"))).alias("m"))
-    packed.select(F.to_json("m").alias("value")).write.mode("overwrite").text(path)
+    packed.select(F.to_json("m").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)  # one object a file
 
 
 def pipe_table(df: DataFrame, path: str) -> None:

@@ -68,6 +68,16 @@ def test_writers(spark, tmp_path):
     assert len(list((tmp_path / "c").glob("*.parquet"))) == 4
 
 
+def test_many_wrapped_objects(spark, tmp_path):
+    """Every shard is a file of its own, as a file holds one object."""
+    df = spark.range(60).selectExpr("id", "concat('v', id % 7) as x")
+    writers.wrapped_json(df, str(tmp_path / "w"), "rows", "id", 4)
+    assert sorted(tuple(r) for r in readers.wrapped_json(spark, str(tmp_path / "w"), "rows", "id bigint, x string").collect()) == [(i, f"v{i % 7}") for i in range(60)]
+    assert readers.json_array_stream(spark, str(tmp_path / "w"), "rows", "id bigint").count() == 60
+    writers.label_maps(df, str(tmp_path / "m"), "id", "x", 4)
+    assert readers.label_map_json(spark, str(tmp_path / "m")).count() == 60
+
+
 def test_stream_upserts(spark, tmp_path):
     schema = "k int, v int, x string"
     for i, rows in enumerate([[(1, 1, "a"), (1, 5, "b"), (2, 1, "c"), (3, 1, "d")], [(1, 2, "late"), (2, 7, "new")], [(2, 7, "new")]]):

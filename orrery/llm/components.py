@@ -23,7 +23,7 @@ def connected_components(links: DataFrame, max_rounds: int = 30) -> DataFrame:
         # large star: every larger neighbour of a node is tied to the smallest of its closed neighbourhood
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: a node and its smaller neighbours are tied to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")

@@ -279,7 +279,7 @@ def name_entities(names: DataFrame, edits: int = 2) -> DataFrame:
     # one search for all: own words by kind, surnames by initial, given names by surname
     givens = people.filter("length(given) > 5").select(_tag(F.lit("g"), "key").alias("domain"), F.col("given").alias("key"))
     keys = orgs.unionByName(firms).select("domain", F.explode("keys").alias("key")).unionByName(people.select("domain", "key")).unionByName(givens)
-    near = cut(similar_keys(keys, edits))
+    near = cut(similar_keys(cut(keys.distinct()), edits))
 
     # links of organisations: near keys, and both orders of two words
     of = lambda kind: F.startswith("domain", F.lit(kind))
@@ -318,7 +318,7 @@ def name_entities(names: DataFrame, edits: int = 2) -> DataFrame:
     joined = short.join(counted, ["domain", "key", "middle"], "left")
     none = F.col("middle") == ""
     person = F.when(F.col("nm") == 1, F.col("pm")).when(F.col("nm") > 1, F.lit(None)).when(none & (F.col("na") == 1), F.col("pa")).when(~none & (F.col("nb") == 1), F.col("pb"))
-    initials = joined.withColumn("as_person", (F.col("firm") == "") | F.col("na").isNotNull()).withColumn("entity", F.coalesce(person, "entity"))
+    initials = cut(joined.select("name", "firm", ((F.col("firm") == "") | F.col("na").isNotNull()).alias("as_person"), F.coalesce(person, "entity").alias("entity")))
     firms = initials.filter("not as_person").select("name", _tag(F.lit("org:"), "firm").alias("node"), F.lit("").alias("acronym"))
 
     orgs = cut(entity(orgs.select("name", _tag("domain", F.col("keys")[0]).alias("node"), "acronym").unionByName(firms)))
@@ -331,6 +331,7 @@ def name_entities(names: DataFrame, edits: int = 2) -> DataFrame:
 def same_entity_pairs(entities: DataFrame, piece: int = 256) -> DataFrame:
     """(name_a, name_b) with name_a < name_b by code point: all pairs of each entity. An entity of many names is cut into
     pieces of about ``piece`` names; every pair of pieces is its own join key, so that no task gets a whole hot entity."""
+    entities = cut(entities.select("entity", "name"))
     sizes = entities.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("n"))
     rows = entities.join(sizes, "entity").withColumn("at", F.pmod(F.xxhash64("name"), F.col("n")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))

@@ -3,6 +3,8 @@ preparation, incremental batches and evaluation."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from orrery.operators import delta, evaluate, transfer
 from orrery.operators.order import running_number
 from orrery.operators.provenance import provenance, span
 from orrery.operators.simjoin import best_ranks, count_within, label_sums, mean_similarity, nearest
-from orrery.session import cut, table
+from orrery.session import cut, shared_folder, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -744,9 +746,12 @@ def stream_windows(spark, d):
 
 @query("select count(*) as n, count(distinct user_id) as n_users from (select distinct event_id, user_id from events)")
 def stream_dedup(spark, d):
-    from orrery.streaming.incremental import deduplicated, events_stream, run_to_memory
+    from orrery.streaming.incremental import distinct_batches, distinct_rows, events_stream
 
-    out = run_to_memory(deduplicated(events_stream(spark, d), late="60 days").select("event_id", "user_id"), "orrery_dedup", "append")
+    path = f"{shared_folder(spark)}/distinct-{uuid.uuid4().hex}"
+    pairs = events_stream(spark, d).select("event_id", "user_id")
+    distinct_batches(pairs, f"{path}/rows", f"{path}/state").awaitTermination()
+    out = distinct_rows(spark, f"{path}/rows", pairs.schema)
     return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"))
 
 

@@ -18,10 +18,33 @@ def event_windows(events: DataFrame, late: str = "1 hour", length: str = "1 day"
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
-    """Each key once, with state bounded by the watermark."""
+    """Each key once, with state bounded by the watermark; rows later than ``late`` and those of before 1970, where a
+    watermark begins, are given up."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def distinct_batches(stream: DataFrame, base: str, checkpoint: str):
+    """Runs the available input once; each micro-batch adds to the store under ``base`` those of its rows that no batch
+    before has brought, each once, however late they are; a repeated batch changes nothing. What is known lies in files,
+    which executors write and every batch reads, so that it may outgrow the memory of executors and driver.
+    ``distinct_rows`` reads the store, which keeps one checkpoint for life.
+    """
+    spark = stream.sparkSession
+
+    def one(batch: DataFrame, number: int) -> None:
+        held = _written(spark, base, number)
+        new = batch.subtract(spark.read.schema(batch.schema).parquet(*held)) if held else batch.distinct()
+        new.write.mode("overwrite").parquet(f"{base}/_batch={number}")
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def distinct_rows(spark: SparkSession, base: str, schema) -> DataFrame:
+    """The store that ``distinct_batches`` keeps."""
+    held = _written(spark, base)
+    return spark.read.schema(schema).parquet(*held) if held else spark.createDataFrame([], schema)
+
+
 def upsert_batches(stream: DataFrame, key: str, version: str, base: str, checkpoint: str, buckets: int = 64):
     """Runs the available input once; each micro-batch adds to the store under ``base``, in which the row of the greatest
     version of each key counts, whichever batch brings it: an older version that arrives late replaces nothing, and a
@@ -46,20 +69,26 @@ def upsert_batches(stream: DataFrame, key: str, version: str, base: str, checkpo
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _bucket_paths(spark: SparkSession, base: str, before: int | None = None) -> dict[int, str]:
-    """The newest folder of each bucket, written whole by a batch of a number less than ``before``."""
+def _written(spark: SparkSession, base: str, before: int | None = None) -> list[str]:
+    """The folders that batches of a number less than ``before`` have written whole, in the order of their numbers."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path
     fs = folder(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder(base)):
-        return {}
+        return []
     batches = sorted(int(x.getPath().getName().removeprefix("_batch=")) for x in fs.listStatus(folder(base)) if x.getPath().getName().startswith("_batch="))
+    return [f"{base}/_batch={n}" for n in batches if (before is None or n < before) and fs.exists(folder(f"{base}/_batch={n}/_SUCCESS"))]
+
+
+def _bucket_paths(spark: SparkSession, base: str, before: int | None = None) -> dict[int, str]:
+    """The newest folder of each bucket, written whole by a batch of a number less than ``before``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = folder(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = {}
-    for n in batches:
-        if (before is None or n < before) and fs.exists(folder(f"{base}/_batch={n}/_SUCCESS")):
-            for x in fs.listStatus(folder(f"{base}/_batch={n}")):
-                if x.getPath().getName().startswith("_bucket="):
-                    out[int(x.getPath().getName().removeprefix("_bucket="))] = f"{base}/_batch={n}/{x.getPath().getName()}"
+    for path in _written(spark, base, before):
+        for x in fs.listStatus(folder(path)):
+            if x.getPath().getName().startswith("_bucket="):
+                out[int(x.getPath().getName().removeprefix("_bucket="))] = f"{path}/{x.getPath().getName()}"
     return out
 
 
@@ -69,7 +98,8 @@ def current_rows(spark: SparkSession, base: str) -> DataFrame:
 
 
 def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drives a stream over all available input into a memory table of that name."""
+    """Drives a stream over all available input into a memory table of that name. The driver holds its rows: for results
+    that do not grow with the input."""
     ensure_checkpoint_dir(df.sparkSession)
     shared = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
     state = f"{shared}/stream-{uuid.uuid4().hex}"
@@ -79,5 +109,6 @@ def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame
 
 
 def events_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events table as a stream, be it one file or a folder of files: as a glob the path may be either."""
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
